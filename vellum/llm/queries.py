@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import ann, language, mixing, pages, simhash
 
-QUERIES = {"op2_simhash": simhash.op2_simhash, "op5_mixing": mixing.op5_mixing}
+QUERIES = {"op1_language": language.op1_language, "op2_simhash": simhash.op2_simhash, "op5_mixing": mixing.op5_mixing, "op8_neighbours": ann.op8_neighbours, "op10_html": pages.op10_html}
 SQL = {"op5_mixing": mixing.SQL.format(docs="documents")}
