@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, language, mixing, pages, simhash
+from . import ann, language, mixing, pages, secrets, simhash
 
-QUERIES = {"op1_language": language.op1_language, "op2_simhash": simhash.op2_simhash, "op5_mixing": mixing.op5_mixing, "op8_neighbours": ann.op8_neighbours, "op10_html": pages.op10_html}
-SQL = {"op5_mixing": mixing.SQL.format(docs="documents")}
+QUERIES = {"op1_language": language.op1_language, "op2_simhash": simhash.op2_simhash, "op5_mixing": mixing.op5_mixing, "op8_neighbours": ann.op8_neighbours, "op9_secrets": secrets.op9_secrets, "op10_html": pages.op10_html}
+SQL = {"op5_mixing": mixing.SQL.format(docs="documents"), "op9_secrets": secrets.oracle(secrets.forest_of())}
