@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,3 +151,32 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
 def unsigned(values) -> pa.Array:
     """uint64 as Spark's long, bit by bit."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of id and text: rows that share an id but not the text are told apart."""
+    return F.xxhash64(key(id_col), F.col(text_col).cast("string"))
+
+
+def filtered(docs: DataFrame, keep: Callable[[list[pa.Array]], np.ndarray], *inputs: Column) -> DataFrame:
+    """The rows of docs, all columns as they are, for which keep (of the inputs' Arrow arrays) is true."""
+    names = []
+    for c in inputs:
+        names.append(unused(docs, f"input{len(names)}"))
+        docs = docs.withColumn(names[-1], c)
+    rest = docs.drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = keep([b.column(b.schema.get_field_index(n)) for n in names])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i, n in enumerate(b.schema.names) if n not in names], names=[n for n in b.schema.names if n not in names]).filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, rest.schema)

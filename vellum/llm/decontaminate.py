@@ -196,34 +196,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     Null texts hold nothing; null item ids are dropped, null document ids kept. Repeated documents give repeated
     rows, repeated items one row each. Other columns are ignored. Empty tables give no rows.
     """
-    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    listed = items.where(F.col(item_col).isNotNull() & F.col(question_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), answer.alias("a"))
-    bytes_ = listed.agg(F.coalesce(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-2 * bytes_ // index_bytes)) if bytes_ > index_bytes else 1
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for part in range(parts):
-        mine = listed if parts == 1 else listed.where(F.pmod(F.xxhash64("i", "q"), F.lit(parts)) == part)
-        index = Index(sorted((r["i"], r["q"], r["a"]) for r in mine.collect()) if not answer_col else sorted(((r["i"], r["q"], r["a"]) for r in mine.collect()), key=str), overlap)
+    for index in indexes(items, item_col, question_col, answer_col, overlap, index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                data, off = common.to_binary(b.column(1))
-                row, item, share = [], [], []
-                for lo, hi in common.pieces(off):
-                    words, first = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                    best: dict[tuple[int, int], float] = {}
-                    for text, p in index.passages(words, first):
-                        whole = words[first[text] : first[text + 1]]
-                        passage = whole[p * index.stride : (p + 2) * index.stride]
-                        for i in index.wand(np.unique(passage).tolist()):
-                            got = index.verify(i, passage, whole)
-                            if got:
-                                best[text, i] = max(best.get((text, i), 0.0), got)
-                    for (text, i), got in sorted(best.items()):
-                        row.append(lo + text)
-                        item.append(index.ids[i])
-                        share.append(got)
+                found = held(index, b.column(1))
+                row, item, share = ([x[k] for x in found] for k in range(3))
                 yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "overlap"])
 
         found = chosen.mapInArrow(run, "doc_id long, item_id long, overlap double")
@@ -231,5 +211,48 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out
 
 
+def indexes(items: DataFrame, item_col: str, question_col: str, answer_col: str | None, overlap: float, index_bytes: int) -> Iterator[Index]:
+    """One index after the other, each of at most about ``index_bytes`` of text; the first even if there is no item."""
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    listed = items.where(F.col(item_col).isNotNull() & F.col(question_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), answer.alias("a")).distinct()
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-2 * size // index_bytes)) if size > index_bytes else 1
+    for part in range(parts):
+        mine = listed if parts == 1 else listed.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(parts)) == part)
+        yield Index(sorted(((r["i"], r["q"], r["a"]) for r in mine.collect()), key=lambda r: (r[0], r[1], r[2] or "")), overlap)
+
+
+def held(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
+    """(row, item id, overlap) of the items that each text holds; the largest overlap of an id's."""
+    data, off = common.to_binary(texts)
+    out: list[tuple[int, int, float]] = []
+    for lo, hi in common.pieces(off):
+        words, first = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        best: dict[tuple[int, int], float] = {}
+        for text, p in index.passages(words, first):
+            whole = words[first[text] : first[text + 1]]
+            passage = whole[p * index.stride : (p + 2) * index.stride]
+            for i in index.wand(np.unique(passage).tolist()):
+                got = index.verify(i, passage, whole)
+                if got:
+                    at = text, index.ids[i]
+                    best[at] = max(best.get(at, 0.0), got)
+        out += [(lo + text, item, got) for (text, item), got in sorted(best.items())]
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Rows that hold no item (see matches); columns as they are."""
+    for index in indexes(items, item_col, question_col, answer_col, overlap, index_bytes):
+
+        def clean(x: list[pa.Array], index: Index = index) -> np.ndarray:
+            keep = np.ones(len(x[0]), bool)
+            keep[[row for row, _, _ in held(index, x[0])]] = False
+            return keep
+
+        docs = common.filtered(docs, clean, F.col(text_col).cast("string"))
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

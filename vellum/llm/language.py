@@ -170,26 +170,42 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     language and its calibrated probability; rejected if that lies under the model's threshold. Repeated rows
     give repeated rows; a null id is kept. Other columns are ignored.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == 2).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == 2).alias("held_out"), F.col(text_col).alias("text"), lettered(text_col).alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = common.to_binary(b.column(2))
-            letters = b.column(3).to_numpy(zero_copy_only=False)
-            lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            rejected = np.ones(b.num_rows, bool)
-            for lo, hi in common.pieces(off, common.PIECE // 2) if model else ():
-                p = model.probabilities(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                best = p.argmax(axis=1)
-                for k in np.flatnonzero(letters[lo:hi]):
-                    lang[lo + k] = model.langs[best[k]]
-                    score[lo + k] = p[k, best[k]]
-                    rejected[lo + k] = score[lo + k] < model.threshold
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(lang), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            lang, score, rejected = answers(model, b.column(2), b.column(3))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def lettered(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def answers(model: Model | None, texts: pa.Array, has_letter: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    data, off = common.to_binary(texts)
+    letters = has_letter.to_numpy(zero_copy_only=False).astype(bool)
+    lang, score, rejected = [UNKNOWN] * len(letters), np.zeros(len(letters)), np.ones(len(letters), bool)
+    for lo, hi in common.pieces(off, common.PIECE // 2) if model else ():
+        p = model.probabilities(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        best = p.argmax(axis=1)
+        for k in np.flatnonzero(letters[lo:hi]):
+            lang[lo + k] = model.langs[best[k]]
+            score[lo + k] = p[k, best[k]]
+            rejected[lo + k] = score[lo + k] < model.threshold
+    return lang, score, rejected
+
+
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Rows whose language isn't rejected; columns as they are. Without a model nothing can be judged and all stay."""
+    if model is None:
+        return docs
+    return common.filtered(docs, lambda x: ~answers(model, x[0], x[1])[2], F.col(text_col).cast("string"), lettered(text_col))
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return predict(docs, train(docs))

@@ -92,5 +92,11 @@ select doc_id, size, source_size, target,
 """
 
 
-def reps(repetitions: Column) -> Column:
-    return repetitions > 0
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, cycle: int = CYCLE, seed: str = SEED) -> DataFrame:
+    """The rows that the mix takes, with their columns and mix_size, mix_target, mix_taken (words) and mix_repetitions
+    (epochs of the document; the part beyond whole ones is its first words). Columns of these names are replaced."""
+    rid = common.unused(docs, "rid")
+    keyed = docs.withColumn(rid, common.row_key(id_col, text_col))
+    mix = mix_sources(keyed, rid, text_col, source_col, epochs, cycle, seed).where("taken > 0").dropDuplicates(["doc_id"])
+    mix = mix.select(F.col("doc_id").alias(rid), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"), F.col("repetitions").alias("mix_repetitions"))
+    return keyed.drop(*mix.columns[1:]).join(mix, rid).drop(rid)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, bytes_dedup, decontaminate, language, mixing, pages, secrets, simhash, tokens, words_dedup
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_neighbours": ann.op8_neighbours,
     "op9_secrets": secrets.op9_secrets,
     "op10_html": pages.op10_html,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op5_mixing": mixing.SQL.format(docs="documents"), "op9_secrets": secrets.oracle(secrets.forest_of())}

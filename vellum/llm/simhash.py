@@ -40,17 +40,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a long. Null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, rid_col: str | None = None) -> DataFrame:
+    """(id, rid, fp): rid as given (else null), fp is the fingerprint's 64 bits as a long. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = common.to_binary(b.column(1))
+            data, off = common.to_binary(b.column(2))
             raw, off = data.tobytes(), off.tolist()
             fps = np.fromiter((fingerprint(raw[x:y], shingle, seed) for x, y in zip(off, off[1:], strict=False)), np.uint64, len(off) - 1)
-            yield pa.record_batch([b.column(0), common.unsigned(fps)], names=["id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), common.unsigned(fps)], names=["id", "rid", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    rid = F.col(rid_col) if rid_col else F.lit(None).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), rid.alias("rid"), F.col(text_col).alias("text")).mapInArrow(run, "id long, rid long, fp long")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +164,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(join, "a long, b long").distinct()
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(id, rid, fp, first) of every row: first is the least (id, fp) of its group, ids being the largest long for null;
+    rid tells rows of one id with different texts apart."""
+    fps = common.written(fingerprints(docs.select(common.key(id_col).alias("k"), common.row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("t")), "k", "t", shingle, seed, "rid"), "fps")
+    distinct = common.written(fps.groupBy("fp").agg(F.min(F.struct("id", "fp")).alias("label")), "distinct")
+    linked = components(distinct.withColumnRenamed("fp", "node"), links(distinct, distance))
+    labels = distinct.join(linked.select(F.col("node").alias("fp"), F.col("label").alias("low")), "fp", "left").select("fp", F.coalesce("low", "label").alias("first"))
+    return fps.join(labels, "fp").select("id", "rid", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -170,12 +181,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count as the largest in component_id. Rows that repeat are rows of the result. No rows: no rows. Other columns
     are ignored, whatever their names.
     """
-    fps = common.written(fingerprints(docs.select(common.key(id_col).alias("k"), text_col), "k", text_col, shingle, seed), "fps")
-    distinct = common.written(fps.groupBy("fp").agg(F.min("id").alias("label")), "distinct")
-    linked = components(distinct.withColumnRenamed("fp", "node"), links(distinct, distance))
-    labels = distinct.join(linked.select(F.col("node").alias("fp"), F.col("label").alias("low")), "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"))
     real = lambda c: F.when(F.col(c) != common.NO_ID, F.col(c))
-    return fps.join(labels, "fp").select(real("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real("component_id").alias("component_id"))
+    return groups(docs, id_col, text_col, distance, shingle, seed).select(real("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real("first.id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each group, that of the smallest id; columns as they are. Rows that repeat wholly stay once."""
+    found = common.written(groups(docs, id_col, text_col, distance, shingle, seed), "groups")
+    rid = common.unused(docs, "rid")
+    first = found.groupBy("first").agg(F.min(F.struct("id", "rid")).alias("best")).select(F.col("best.rid").alias(rid))
+    kept = docs.withColumn(rid, common.row_key(id_col, text_col)).join(first, rid, "left_semi")
+    if found.groupBy("rid").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([rid])
+    return kept.drop(rid)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
