@@ -100,7 +100,7 @@ def quad_boxes(spark, d):
     return q.select("image_id", "box_id", *columns(G.quad_box(F.col("quad"), 3)), first["x"].alias("start_x"), first["y"].alias("start_y"), area.alias("area"), G.unclip_distance(F.col("quad")).alias("distance"), F.element_at(G.quad_scale(F.col("quad"), 1.25, 1.25, WD, HT), 1)["x"].alias("scaled_x"))
 
 
-NEXT = "nx as (select *, lead(x) over o as qx, lead(y) over o as qy, lead(w) over o as qw, lead(h) over o as qh from b window o as (partition qy image_id order qy y, x, box_id))"
+NEXT = "nx as (select *, lead(x) over o as qx, lead(y) over o as qy, lead(w) over o as qw, lead(h) over o as qh from b window o as (partition by image_id order by y, x, box_id))"
 
 
 @query("select image_id, box_id, case when iw > 0 and ih > 0 then (iw * ih)::double / (w * h + qw * qh - iw * ih) else 0.0::double end as iou, greatest(0, iw)::double / least(w, qw) as x_overlap, greatest(0, ih)::double / least(h, qh) as y_overlap, (x <= qx and y <= qy and x + w >= qx + qw and y + h >= qy + qh) as contains, (qx + qw / 2 between x and x + w) and (qy + qh / 2 between y and y + h) as has_centre from (select *, least(x + w, qx + qw) - greatest(x, qx) as iw, least(y + h, qy + qh) - greatest(y, qy) as ih from nx where qx is not null)", X.BOXES, NEXT)
