@@ -74,7 +74,7 @@ def labelled_findings(n: int = 40, seed: int = 9) -> list[tuple[str, str, int]]:
     r = random.Random(seed)
     hexa, alnum, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     draw = lambda a, lo, hi: "".join(r.choices(a, k=r.randint(lo, hi)))
-    syllables = "er on an re he in ti th or en at es sh nd st ed ing tion ble ly ung ver ge keit aux ment eau ciónn os ar do asci".split()
+    syllables = "con ver sta men tion ing ble ter pre ex un der ge ung keit lich aux eau ment ción ado os ar and for est per pro re in".split()
     word = lambda lo=2, hi=6: "".join(r.choices(syllables, k=r.randint(lo, hi)))
     prose = lambda: " ".join(word() for _ in range(r.randint(1, 6)))
     names = ["password", "passwd", "secret", "token", "api_key", "API_KEY", "auth", "access_key", "Password", "TOKEN", "PASSWORD", "PWD"]
