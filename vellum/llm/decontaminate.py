@@ -59,16 +59,17 @@ class Index:
     def __init__(self, items: list[tuple[int, str, str | None]], overlap: float = OVERLAP) -> None:
         self.overlap = overlap
         self.ids: list[int] = []
-        self.question: list[np.ndarray] = []
-        self.answer: list[np.ndarray] = []
+        self.question: list[tuple[np.ndarray, int]] = []  # shingles and their length
+        self.answer: list[tuple[np.ndarray, int]] = []
         words: list[np.ndarray] = []
         for item, text, answer in items:
             w = self.hashes(text)
             if len(w):
                 self.ids.append(item)
                 words.append(w)
-                self.question.append(shingles(w))
-                self.answer.append(shingles(self.hashes(answer or "")))
+                self.question.append((shingles(w), min(SHINGLE, len(w))))
+                a = self.hashes(answer or "")
+                self.answer.append((shingles(a), min(SHINGLE, max(1, len(a)))))
         n = len(words)
         self.stride = max([SHINGLE, *map(len, words)])
         df: dict[int, int] = defaultdict(int)
@@ -84,7 +85,7 @@ class Index:
             idf = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()])
             weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / average))
             heavy = np.argsort(-weight, kind="stable")
-            lost = int((1 - overlap) * len(self.question[i]) + 1e-9)
+            lost = int((1 - overlap) * len(self.question[i][0]) + 1e-9)
             threshold = max(weight.sum() - weight[heavy[:lost]].sum(), 1e-9)
             for t, x in zip(terms.tolist(), (weight / threshold).tolist(), strict=True):
                 self.postings[t].append((i, x))
@@ -155,12 +156,14 @@ class Index:
 
     def verify(self, item: int, passage: np.ndarray, whole: np.ndarray) -> float:
         """Share of the question's shingles in the passage, if the answer's (where it has one) are in the text as well; else 0."""
-        got = np.isin(self.question[item], shingles(passage)).mean()
-        if got >= self.overlap - 1e-9 and len(self.answer[item]):
-            n = SHINGLE if len(self.answer[item]) > 1 else None
-            if np.isin(self.answer[item], shingles(whole, n) if n else shingles(whole)).mean() < self.overlap - 1e-9:
-                return 0.0
-        return float(got) if got >= self.overlap - 1e-9 else 0.0
+        question, n = self.question[item]
+        got = np.isin(question, shingles(passage, n)).mean()
+        if got < self.overlap - 1e-9:
+            return 0.0
+        answer, n = self.answer[item]
+        if len(answer) and np.isin(answer, shingles(whole, n)).mean() < self.overlap - 1e-9:
+            return 0.0
+        return float(got)
 
     def passages(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         """(text, passage) that hold enough of an item's rarest terms. Passage p is the words [p, p + 2) * stride."""

@@ -130,22 +130,26 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     article, with and without its own element), 1 for article text. Deterministic; about a thousand rows."""
     rng = np.random.default_rng(20)
     xs, ys = [], []
-    for page in range(60):
+    for page in range(72):
         rows: list[tuple[str, int, int, int, int, int]] = []
-        marked, body = page % 3 != 0, []
-        for _ in range(int(rng.integers(0, 9))):
+        marked, body, bare = page % 3 != 0, [], page >= 60
+        for _ in range(0 if bare else int(rng.integers(0, 9))):
             w = int(rng.integers(1, 5))
             rows.append(("", w, w, int(rng.random() < 0.7), 0, 0))
-        for _ in range(int(rng.integers(0, 3))):
+        for _ in range(0 if bare else int(rng.integers(0, 3))):
             rows.append(("", int(rng.integers(2, 40)), 0, 1, 0, 0))
-        for k in range(int(rng.integers(2, 12))):
+        for k in range(int(rng.integers(1, 4) if bare else rng.integers(2, 12))):
             w = int(rng.integers(1, 9)) if marked and rng.random() < 0.4 else int(rng.integers(15, 150))
-            w = int(rng.integers(4, 12)) if k == 0 else w
+            w = int(rng.integers(4, 12)) if k == 0 and not bare else w
             body.append(("", w, int(w * rng.choice([0, 0, 0, 0.1, 0.2]) * (w > 10)), 0, int(marked), 1))
             if marked and rng.random() < 0.15:
                 x = int(rng.integers(2, 30))
                 body.append(("", x, int(x * rng.choice([0, 1])), 1, 1, 0))
         rows += body
+        if bare:
+            xs.append(features([r[:5] for r in rows]))
+            ys += [r[5] for r in rows]
+            continue
         for _ in range(int(rng.integers(0, 7))):
             w = int(rng.integers(1, 8))
             rows.append(("", w, w, int(rng.random() < 0.6), 0, 0))
