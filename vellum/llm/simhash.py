@@ -170,7 +170,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dist
     fps = common.written(fingerprints(docs.select(common.key(id_col).alias("k"), common.row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("t")), "k", "t", shingle, seed, "rid"), "fps")
     distinct = common.written(fps.groupBy("fp").agg(F.min(F.struct("id", "fp")).alias("label")), "distinct")
     linked = components(distinct.withColumnRenamed("fp", "node"), links(distinct, distance))
-    labels = distinct.join(linked.select(F.col("node").alias("fp"), F.col("label").alias("low")), "fp", "left").select("fp", F.coalesce("low", "label").alias("first"))
+    # written, so that both sides of the last join are shuffled for it alone and a common fingerprint's rows can be split
+    labels = common.written(distinct.join(linked.select(F.col("node").alias("fp"), F.col("label").alias("low")), "fp", "left").select("fp", F.coalesce("low", "label").alias("first")), "firsts")
     return fps.join(labels, "fp").select("id", "rid", "fp", "first")
 
 
