@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows that the model is fitted on, over all languages: a bound, not a share.
-SAMPLE = 4000
+SAMPLE = 2400
 BITS, DIM, ORDERS = 16, 16, (2, 3, 4)
 #: Share of right answers on calibration rows that rejection may cost, and the highest threshold it may set.
 LOSS, HIGHEST = 0.001, 0.35
@@ -153,14 +153,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     for code, ok in subwords(part, np.array([0, len(part)])):
                         seen += np.bincount(code[ok], minlength=1 << BITS)
                 at = np.flatnonzero(seen)
-                ids.append(at.astype(np.int32).tobytes())
+                ids.append(at.astype(np.uint16).tobytes())
                 ns.append(seen[at].astype(np.float32).tobytes())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(ns, pa.binary())], names=["lang", "calibrate", "ids", "ns"])
 
     got = sorted(picked.mapInArrow(count, "lang string, calibrate boolean, ids binary, ns binary").collect(), key=lambda r: (r["lang"], r["calibrate"], bytes(r["ids"]), bytes(r["ns"])))
     if not got:
         return None
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["ns"], np.float32)) for r in got], [r["lang"] for r in got], [r["calibrate"] for r in got])
+    return fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["ns"], np.float32)) for r in got], [r["lang"] for r in got], [r["calibrate"] for r in got])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
