@@ -56,13 +56,12 @@ LINES = "ln as (select doc_id, source, lang, unnest(range(len(string_split(text,
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth and prediction, ASCII; the prediction has letters changed."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    gt = F.substring("text", 1, 200)
-    return d.select("doc_id", F.col("source").alias("font"), gt.alias("gt"), F.translate(gt, "ex", "c").alias("pred"), (F.lit(0.001) * (1 + F.col("doc_id") % 7)).alias("time"))
+    """Ground truth and prediction, a text line of a part each; the prediction has letters changed."""
+    gt = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("font"), gt.alias("gt"), F.translate(gt, "ex", "c").alias("pred"), (F.lit(0.001) * (1 + F.col("p_partkey") % 7)).alias("time"))
 
 
-PAIRS = r"pr as (select doc_id, source as font, substring(text, 1, 200) as gt, translate(substring(text, 1, 200), 'ex', 'c') as pred, 0.001::double * (1 + doc_id % 7) as time from documents where not regexp_matches(text, '[^\x00-\x7F]'))"
+PAIRS = "pr as (select p_partkey as doc_id, p_brand as font, concat_ws(' ', p_name, p_brand, p_type) as gt, translate(concat_ws(' ', p_name, p_brand, p_type), 'ex', 'c') as pred, 0.001::double * (1 + p_partkey % 7) as time from part)"
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,8 @@ def chars(text: Column) -> Column:
 
 
 def encode(text: Column, vocabulary: Column, offset: int = DECODER_OFFSET, wrap: bool = True) -> Column:
-    """Token ids of a text's characters by a map of characters to raw ids; unknown ones are <unk>'s (0)."""
-    ids = F.transform(chars(text), lambda c: F.coalesce(F.try_element_at(vocabulary, c), F.lit(0)) + offset)
+    """Token ids of a text's characters; vocabulary is the array of raw ids by code point, unknown ones are <unk>'s (0)."""
+    ids = F.transform(chars(text), lambda c: F.coalesce(F.try_element_at(vocabulary, F.ascii(c) + 1), F.lit(0)) + offset)
     return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))) if wrap else ids
 
 

@@ -18,9 +18,11 @@ def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def tokenise(texts: DataFrame, vocab: DataFrame, text_col: str = "text", offset: int = T.DECODER_OFFSET) -> DataFrame:
-    """Adds ``ids``. The vocabulary is an alphabet, packed into one map."""
-    packed = vocab.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("vocab_map"))
-    return texts.crossJoin(F.broadcast(packed)).withColumn("ids", T.encode(F.col(text_col), F.col("vocab_map"), offset)).drop("vocab_map")
+    """Adds ``ids``. The vocabulary is an alphabet: one array of ids by code point, so each character is one look-up."""
+    coded = vocab.where(F.length("char") == 1).select(F.ascii("char").alias("code"), "id")
+    places = coded.agg(F.map_from_entries(F.collect_list(F.struct("code", "id"))).alias("m"), F.max("code").alias("top"))
+    packed = places.select(F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0))).alias("by_code"))
+    return texts.crossJoin(F.broadcast(packed)).withColumn("ids", T.encode(F.col(text_col), F.col("by_code"), offset)).drop("by_code")
 
 
 def batches(samples: DataFrame, size: int, longest: int = 512) -> DataFrame:

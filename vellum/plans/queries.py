@@ -247,10 +247,10 @@ def smart_padding(spark, d):
 
 
 def frames_of_page(boxes: DataFrame) -> DataFrame:
-    return boxes.where("box_id % 10 = 0").select("image_id", "box_id", "x", "y", (F.col("w") * 6).alias("w"), (F.col("h") * 8).alias("h"))
+    return boxes.select("image_id", "box_id", "x", "y", (F.col("w") * 6).alias("w"), (F.col("h") * 8).alias("h"))
 
 
-OUTER = "ob as (select image_id, box_id as outer_id, x, y, w * 6 as w, h * 8 as h from b where box_id % 10 = 0)"
+OUTER = "ob as (select image_id, box_id as outer_id, x, y, w * 6 as w, h * 8 as h from b)"
 
 
 @query("select ob.image_id, outer_id, b.box_id as inner_id from ob join b on ob.image_id = b.image_id where ob.x <= b.x and ob.y <= b.y and ob.x + ob.w >= b.x + b.w and ob.y + ob.h >= b.y + b.h", X.BOXES, OUTER)
@@ -342,24 +342,24 @@ def vocabulary(spark, d):
     return corpus.vocabulary(X.table(spark, d, "documents"))
 
 
-@query("select part_.doc_id, '1 ' || string_agg((coalesce(vo.id, 0) + 3)::varchar, ' ' order by part_.i) || ' 2' as ids from (select doc_id, unnest(range(length(t))) as i, unnest(string_split(t, '')) as ch from (select doc_id, substring(text, 1, 60) as t from documents)) part_ left join vo on vo.char = part_.ch group by part_.doc_id", VOCAB)
+@query("select part_.doc_id, '1 ' || string_agg((coalesce(vo.id, 0) + 3)::varchar, ' ' order by part_.i) || ' 2' as ids from (select doc_id, unnest(range(length(t))) as i, unnest(string_split(t, '')) as ch from (select doc_id, text as t from documents)) part_ left join vo on vo.char = part_.ch group by part_.doc_id", VOCAB)
 def tokenise(spark, d):
     docs = X.table(spark, d, "documents")
-    return corpus.tokenise(docs.select("doc_id", F.substring("text", 1, 60).alias("text")), corpus.vocabulary(docs)).select("doc_id", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
+    return corpus.tokenise(docs.select("doc_id", "text"), corpus.vocabulary(docs)).select("doc_id", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
 
 
-@query("select doc_id, substring(text, 1, 60) as text from documents")
+@query("select doc_id, text from documents")
 def detokenise(spark, d):
     docs = X.table(spark, d, "documents")
     v = corpus.vocabulary(docs)
     chars = v.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "char"))), lambda s: s["char"]).alias("characters"))
-    ids = corpus.tokenise(docs.select("doc_id", F.substring("text", 1, 60).alias("text")), v)
+    ids = corpus.tokenise(docs.select("doc_id", "text"), v)
     return ids.crossJoin(F.broadcast(chars)).select("doc_id", T.decode(F.col("ids"), F.col("characters")).alias("text"))
 
 
-@query("select batch, max(len(cut))::int as width, array_to_string(flatten(list(cut || list_transform(range(0, (w - len(cut))::bigint), lambda v: 0) order by step)), ' ') as targets, array_to_string(flatten(list(cut order by step)), ' ') as flat, string_agg(len(cut)::varchar, ' ' order by step) as lengths from (select *, max(len(cut)) over (partition by batch) as w from (select batch, step, list_transform(range(0, (step % 5 + 1)::bigint), lambda v: step) as cut from (select *, (step - 1) // 4 as batch from tk where doc = 1))) group by batch", X.TOKENS)
+@query("select batch, max(len(cut))::int as width, array_to_string(flatten(list(cut || list_transform(range(0, (w - len(cut))::bigint), lambda v: 0) order by step)), ' ') as targets, array_to_string(flatten(list(cut order by step)), ' ') as flat, string_agg(len(cut)::varchar, ' ' order by step) as lengths from (select *, max(len(cut)) over (partition by batch) as w from (select batch, step, list_transform(range(0, (step % 5 + 1)::bigint), lambda v: step) as cut from (select p_partkey + 1 as step, p_partkey // 4 as batch from part))) group by batch")
 def padded_batches(spark, d):
-    t = X.tokens(spark, d).where("doc = 1").select(F.col("step").alias("row"), F.array_repeat("step", F.col("step") % 5 + 1).alias("ids"))
+    t = X.table(spark, d, "part").select((F.col("p_partkey") + 1).alias("row")).select("row", F.array_repeat("row", (F.col("row") % 5 + 1).cast("int")).alias("ids"))
     text = lambda a: F.concat_ws(" ", a.cast("array<string>"))
     return corpus.batches(t, 4).select("batch", "width", text(F.flatten("targets")).alias("targets"), text(F.col("flat")).alias("flat"), text(F.col("lengths")).alias("lengths"))
 
@@ -382,10 +382,10 @@ def weighted_layouts(spark, d):
     return X.table(spark, d, "documents").select("doc_id", corpus.choose(F.col("doc_id"), {"paragraph": 0.3, "invoice": 0.25, "form": 0.2, "table": 0.12, "list": 0.08, "header": 0.05}, "layout").alias("layout"))
 
 
-@query("select l.text, greatest(0, l.need - coalesce(h.have, 0))::bigint as remaining from (select line as text, 2 * count(*) as need from ln where length(line) > 0 group by line) l left join (select line as text, count(*) as have from ln where pos % 2 = 0 group by line) h on l.text = h.text", X.LINES)
+@query("select l.text, greatest(0, l.need - coalesce(h.have, 0))::bigint as remaining from (select line as text, 2 * count(*) as need from ln where length(line) > 0 group by line) l left join (select line as text, count(*) as have from ln where lang = 'en' group by line) h on l.text = h.text", X.LINES)
 def resume_counts(spark, d):
     lines = X.lines(spark, d)
-    return corpus.remaining(lines.where(F.length("line") > 0).select(F.col("line").alias("text")), lines.where("pos % 2 = 0").select(F.col("line").alias("text")), 2)
+    return corpus.remaining(lines.where(F.length("line") > 0).select(F.col("line").alias("text")), lines.where("lang = 'en'").select(F.col("line").alias("text")), 2)
 
 
 @query("select n_name, r_name as font, copy::int as copy from nation, region, (select unnest([1, 2, 3]) as copy)")
@@ -401,13 +401,12 @@ def pools(spark, d):
 
 # sources and sinks
 
-LABELLED = "lb as (select 'img' || doc_id || '.png' as image, trim(substring(text, 1, 30)) as t, doc_id from documents)"
 
 
-@query("select 'img' || doc_id || '.png' as image, regexp_replace(string_split(regexp_replace('img' || doc_id || '.png' || chr(9) || replace(substring(text, 1, 60), ' of ', chr(9)), '\\s+$', ''), chr(9))[2], '^$', '') as text from documents where len(string_split(regexp_replace('img' || doc_id || '.png' || chr(9) || replace(substring(text, 1, 60), ' of ', chr(9)), '\\s+$', ''), chr(9))) >= 2")
+@query("select 'img' || doc_id || '_' || pos || '.png' as image, regexp_replace(string_split(regexp_replace('img' || doc_id || '_' || pos || '.png' || chr(9) || replace(line, ' of ', chr(9)), '\\s+$', ''), chr(9))[2], '^$', '') as text from ln where len(string_split(regexp_replace('img' || doc_id || '_' || pos || '.png' || chr(9) || replace(line, ' of ', chr(9)), '\\s+$', ''), chr(9))) >= 2", X.LINES)
 def label_rows(spark, d):
-    value = F.concat(F.lit("img"), F.col("doc_id").cast("string"), F.lit(".png\t"), F.replace(F.substring("text", 1, 60), F.lit(" of "), F.lit("\t")))
-    return readers.parse_labels(X.table(spark, d, "documents").select(value.alias("value")))
+    value = F.concat(F.lit("img"), F.col("doc_id").cast("string"), F.lit("_"), F.col("pos").cast("string"), F.lit(".png\t"), F.replace(F.col("line"), F.lit(" of "), F.lit("\t")))
+    return readers.parse_labels(X.lines(spark, d).select(value.alias("value")))
 
 
 @query("select doc_id, pos, line from ln where length(trim(line)) > 0", X.LINES)
@@ -468,13 +467,21 @@ def invert_dark(spark, d):
     return raster.invert_dark(pixels(spark, d))
 
 
-CHARS = "ch as (select * from b where image_id < 40 and box_id <= 12)"
+#: Character boxes, on a page of an eighth of the size.
+CHARS = "ch as (select image_id, box_id, x // 8 as x, y // 8 as y, greatest(1, w // 8) as w, greatest(1, h // 8) as h from b)"
+
+
+def characters(spark: SparkSession, d: str) -> DataFrame:
+    eighth = lambda k, least: F.greatest(F.lit(least), F.floor(F.col(k) / 8).cast("int")).alias(k)
+    return X.boxes(spark, d).select("image_id", "box_id", eighth("x", 0), eighth("y", 0), eighth("w", 1), eighth("h", 1))
+
+
 MAP = "mp as (select image_id, px, py, round(max(exp(-((px - (x + w / 2)) ** 2 / (2 * greatest(w / 2.5, 1.0::double) ** 2) + (py - (y + h / 2)) ** 2 / (2 * greatest(h / 2.5, 1.0::double) ** 2)))), 9) as value from (select *, unnest(range(greatest(0, y - trunc(h * 0.2)::int), least(1700, y + h + trunc(h * 0.2)::int))) as py from (select *, unnest(range(greatest(0, x - trunc(w * 0.2)::int), least(1280, x + w + trunc(w * 0.2)::int))) as px from ch)) group by all)"
 
 
 @query("select image_id, count(*) as n, round(sum(value), 4) as total, max(value) as top from mp group by image_id", X.BOXES, CHARS, MAP)
 def region_maps(spark, d):
-    c = X.boxes(spark, d).where("image_id < 40 and box_id <= 12")
+    c = characters(spark, d)
     m = raster.region_map(c, WD, HT).withColumn("value", F.round("value", 9))
     return m.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("top"))
 
@@ -484,10 +491,10 @@ def affinity_pairs(spark, d):
     return raster.affinity_pairs(X.boxes(spark, d))
 
 
-@query("select ch.image_id, ch.box_id, round(avg(value), 8) as score from ch join mp on mp.image_id = ch.image_id and px >= ch.x and px < ch.x + ch.w and py >= ch.y and py < ch.y + ch.h group by all", X.BOXES, CHARS, MAP)
+@query("select ch.image_id, ch.box_id, round(avg(value), 6) as score from ch join mp on mp.image_id = ch.image_id and px >= ch.x and px < ch.x + ch.w and py >= ch.y and py < ch.y + ch.h group by all", X.BOXES, CHARS, MAP)
 def box_scores(spark, d):
-    c = X.boxes(spark, d).where("image_id < 40 and box_id <= 12")
-    return raster.box_scores(raster.region_map(c, WD, HT), c).withColumn("score", F.round("score", 8))
+    c = characters(spark, d)
+    return raster.box_scores(raster.region_map(c, WD, HT), c).withColumn("score", F.round("score", 6))
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
