@@ -148,3 +148,32 @@ def text_like(w: Column, h: Column, area: Column, height: Column) -> Column:
 
 def gaussian(dx: Column, dy: Column, sx: Column, sy: Column) -> Column:
     return F.exp(-(dx * dx / (2 * sx * sx) + dy * dy / (2 * sy * sy)))
+
+
+def corner_order(points: Column) -> Column:
+    """A quad's corners from the upper left on, clockwise: the two leftmost and the two rightmost, each by y."""
+    by_x = F.array_sort(F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    left, right = (F.array_sort(F.transform(F.slice(by_x, k, 2), lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x")))) for k in (1, 3))
+    corner = lambda side, k: F.struct(side[k]["x"].alias("x"), side[k]["y"].alias("y"))
+    return F.array(corner(left, 0), corner(right, 0), corner(right, 1), corner(left, 1))
+
+
+def short_side(corners: Column) -> Column:
+    side = lambda a, b: F.sqrt((corners[a]["x"] - corners[b]["x"]) ** 2 + (corners[a]["y"] - corners[b]["y"]) ** 2)
+    return F.least(side(0, 1), side(0, 3))
+
+
+def stable_region(w, h, solidity, min_w: int = 2, min_h: int = 6) -> tuple[Column, Column]:
+    """Whether a stable region may be text, and its confidence."""
+    return (c(w) >= min_w) & (c(h) >= min_h) & (c(solidity) > 0.2) & (c(solidity) < 0.95), F.lit(0.7) * c(solidity)
+
+
+def gradient_region(w, h, strong, mean, std) -> tuple[Column, Column]:
+    """The same for a region of strong gradients: ``strong`` pixels of magnitude over 20, their mean and deviation."""
+    return (c(strong) > 10) & (c(w) / c(h) > 0.05) & (c(w) / c(h) < 15), F.lit(0.5) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - c(std) / (c(mean) + F.lit(1e-6))))
+
+
+def inner_component(area, width: int, height: int, x="x", y="y", w="w", h="h") -> Column:
+    """Whether a binarised component is large enough and clear of the image's border."""
+    x, y, w, h = map(c, (x, y, w, h))
+    return (w >= 2) & (h >= 3) & (c(area) >= 6) & (x > 0) & (y > 0) & (x + w < width) & (y + h < height)

@@ -105,3 +105,9 @@ def position_encoding(pos: Column, dim: int) -> Column:
     """Sinusoidal encoding of a position."""
     two = lambda i: F.array(F.sin(pos / F.pow(F.lit(10000.0), i / float(dim))), F.cos(pos / F.pow(F.lit(10000.0), i / float(dim))))
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(dim - 2), F.lit(2)), two))
+
+
+def language_paths(text: Column) -> Column:
+    """The map of ``lang:path,lang:path``."""
+    pairs = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), ":", 2))
+    return F.map_from_entries(F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(p[0]), F.trim(p[1]))))

@@ -115,7 +115,7 @@ def merge_vertical(boxes: DataFrame, ratio: float = 0.3) -> DataFrame:
     return packed.select("image_id", F.posexplode(merged).alias("pos", "b")).select("image_id", "pos", "b.*")
 
 
-def envelopes(boxes: DataFrame, keys: list[str], pad: int, width: int, height: int) -> DataFrame:
+def envelopes(boxes: DataFrame, keys: list[str], pad: int | Column, width: int, height: int) -> DataFrame:
     """One padded box around each group, with its mean confidence and its number of members."""
     g = boxes.groupBy(*keys).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.avg("confidence").alias("confidence"), F.count("*").alias("n"))
     box = G.pad_clip(pad, width, height, "x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
@@ -216,3 +216,21 @@ def cumulative_text(regions: DataFrame) -> DataFrame:
     lead = F.when(F.col("line_number") == F.min("line_number").over(image()), "").when(F.lag("text_line").over(image().orderBy("line_number")) == F.col("text_line"), " ").otherwise("\n")
     upto = image().orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
     return a.withColumn("piece", F.concat(lead, F.col("text"))).withColumn("cumulative_text", F.array_join(F.collect_list("piece").over(upto), "")).drop("piece")
+
+
+def detect_lines(boxes: DataFrame, width: int, height: int, min_confidence: float = 0.3) -> DataFrame:
+    """Components to text lines: filters, suppression, lines, padded envelopes, vertical merges; those of at least
+    ``min_confidence``, by y."""
+    kept = suppress(filter_components(boxes, width, height))
+    lined = group_lines(kept).withColumn("pad", F.greatest(F.lit(2), (F.lit(0.15) * F.median("h").over(image())).cast("int")))
+    lines = envelopes(lined, ["image_id", "line", "pad"], F.col("pad"), width, height).withColumnRenamed("line", "box_id")
+    return merge_vertical(lines).where(F.col("confidence") >= min_confidence).orderBy("image_id", "y", "x").select("image_id", "pos", *"xywh", "confidence")
+
+
+def hierarchy(boxes: DataFrame, width: int, height: int, pad: int = 3) -> DataFrame:
+    """(image_id, block, lines): each block's lines in order, each with its words and their boxes from left to right."""
+    lined = words(group_lines(boxes))
+    per_word = lined.groupBy("image_id", "line", "word").agg(F.array_sort(F.collect_list(F.struct("x", "box_id"))).alias("in_order"))
+    per_line = per_word.groupBy("image_id", "line").agg(F.array_sort(F.collect_list(F.struct("word", F.transform("in_order", lambda s: s["box_id"]).alias("box_ids")))).alias("words"))
+    blocks = group_blocks(envelopes(lined, ["image_id", "line"], pad, width, height)).select("image_id", "line", "block")
+    return blocks.join(per_line, ["image_id", "line"]).groupBy("image_id", "block").agg(F.array_sort(F.collect_list(F.struct("line", "words"))).alias("lines"))

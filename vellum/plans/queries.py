@@ -220,6 +220,35 @@ def block_groups(spark, d):
     return layout.group_blocks(line_boxes_of(spark, d)).select("image_id", "line", "block")
 
 
+TREE = "y0 as (select *, sum(case when gap > thr then 1 else 0 end) over (partition by image_id, line order by x, box_id)::int as word from w2), y1 as (select image_id, line, word, string_agg(box_id::varchar, ',' order by x, box_id) as ids from y0 group by all), y2 as (select image_id, line, string_agg(ids, ' ' order by word) as ids from y1 group by all), y3 as (select image_id, line, sum(new) over (partition by image_id order by y, line)::int as block from k2)"
+
+
+@query("select image_id, block, string_agg(line::varchar || ':' || ids, '/' order by line) as lines from y3 join y2 using (image_id, line) group by image_id, block", X.BOXES, GROUPED, WORDS, ENVELOPES, BLOCKS, TREE, recursive=True)
+def hierarchy(spark, d):
+    tree = layout.hierarchy(X.boxes(spark, d), WD, HT)
+    ids = lambda w: F.array_join(w["box_ids"].cast("array<string>"), ",")
+    return tree.select("image_id", "block", F.array_join(F.transform("lines", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), F.array_join(F.transform(x["words"], ids), " "))), "/").alias("lines"))
+
+
+@query()
+def detected_lines(spark, d):
+    return layout.detect_lines(X.boxes(spark, d), WD, HT)
+
+
+@query(f"select image_id, box_id, w >= 2 and h >= 6 and s > 0.2 and s < 0.95 as stable, 0.7::double * s as stable_confidence, w * h > 10 and w / h > 0.05 and w / h < 15 as gradient, 0.5::double * least(1.0::double, greatest(0.0::double, 1 - h / (w + 1e-6::double))) as gradient_confidence, w >= 2 and h >= 3 and w * h >= 6 and x > 0 and y > 0 and x + w < {WD} and y + h < {HT} as inner_part from (select *, confidence / 10 * 10 as s from b)", X.BOXES)
+def region_filters(spark, d):
+    b = X.boxes(spark, d).withColumn("s", F.col("confidence") / 10 * 10)
+    stable, stable_c = G.stable_region("w", "h", "s")
+    strong, strong_c = G.gradient_region("w", "h", F.col("w") * F.col("h"), "w", "h")
+    return b.select("image_id", "box_id", stable.alias("stable"), stable_c.alias("stable_confidence"), strong.alias("gradient"), strong_c.alias("gradient_confidence"), G.inner_component(F.col("w") * F.col("h"), WD, HT).alias("inner_part"))
+
+
+@query("select image_id, box_id, x + 1.5::double as left_x, y::double as left_y, x + w - 2.5::double as right_x, y + h::double as right_y from b where w >= 5 and h >= 5", X.BOXES)
+def quad_corners(spark, d):
+    q = quads(X.boxes(spark, d)).where("w >= 5 and h >= 5").withColumn("c", G.corner_order(F.col("quad")))
+    return q.select("image_id", "box_id", F.col("c")[0]["x"].alias("left_x"), F.col("c")[0]["y"].alias("left_y"), F.col("c")[2]["x"].alias("right_x"), F.col("c")[2]["y"].alias("right_y"))
+
+
 MERGED = """m0 as (select *, row_number() over (partition by image_id order by y, box_id) as rn from b),
 m1 as (select image_id, rn, 0 as pos, x, y, w, h, confidence::double as confidence from m0 where rn = 1 union all
  select m0.image_id, m0.rn, case when hit then m1.pos else m1.pos + 1 end, case when hit then least(m1.x, m0.x) else m0.x end, case when hit then least(m1.y, m0.y) else m0.y end,
