@@ -244,6 +244,26 @@ def test_secrets(spark):
     assert secrets.scan(df.union(df)).count() == 2 * sum(got.values()) and secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_behind_long_names(spark):
+    values = ["S3cr3t!Pass9", "Qz7!mmT2x", "wJalrXUtnFEMIK7MDENGbPxRfiCYq8ZkLm2p4Qa9", "S3cr3t!Pass9"]
+    heads = ["spring_datasource_password=", 'POSTGRES_ADMIN_PASSWORD: "', 'aws_secret_access_key = "', "conf/spring_datasource_password="]
+    df = frame(spark, [h + v for h, v in zip(heads, values, strict=True)] + ["my_application_password=\nnext", "my_application_password=changeme"])
+    assert [(r.doc_id, r.start, r.rule, r.secret) for r in secrets.scan(df).orderBy("doc_id").collect()] == [(i, len(heads[i]), "assignment", v) for i, v in enumerate(values)]
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()][:4] == [h + "[SECRET]" for h in heads]
+
+
+def test_secrets_context_reaches_over_candidates(spark):
+    hexa = "3fa94be1c07d5582aa61e39b40cf7d1288ea90cc"
+    text = f"see abcdefghijklmnopqrstuvwxyz_token {hexa}"
+    _, hits = secrets.scored("text", secrets.forest_of())
+    last = frame(spark, [text]).select(hits.alias("h")).first().h[-1]
+    from vellum.llm.trees import shares
+
+    x = np.array([secrets.features(hexa, text[: -len(hexa)][-secrets.BEFORE :])])
+    assert x[0][secrets.NAMES.index("key")] == 1
+    assert last.v == hexa and math.isclose(last.score, np.mean([shares(t, x)[0] for t in secrets.forest_of()]))
+
+
 def test_forest_held_out():
     forest = secrets.forest_of()
     other = secrets.labelled_findings(30, seed=77)

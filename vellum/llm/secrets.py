@@ -25,6 +25,10 @@ ASSIGN = r"""(?:[Pp]ass(?:word|wd|phrase)?|PASS(?:WORD|WD|PHRASE)?|[Pp]wd|PWD|[S
 VALUE = r"""[^ \t\r\n\x0B\x0C"'<>]{4,}"""
 LONG = r"[0-9A-Za-z+/_-]{20,}={0,2}"
 CANDIDATE = f"{PREFIX}|{ASSIGN}{VALUE}|{LONG}"
+#: An assignment with the whole name before it, from where a LONG run could begin, so that no long name hides its value.
+NAMED = f"(?:(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]*?)?{ASSIGN}"
+#: What is scanned for; the SQL of oracle() has CANDIDATE, without long names.
+FOUND = f"{PREFIX}|{NAMED}{VALUE}|{LONG}"
 DICTIONARY = "password|passwort|secret|token|example|sample|change|default|please|value|string|number|random|public|private|server|client|config|system|return|please|there|their|which|about|would|these|other|words|people|before|after|under|never|with|that|this|from|have|your|here|none|null|true|false|test|user|name|data|file|home|path|http|www|com|und|der|die|das|nicht|que|los|las|para|les|des|une|pour|dans|the|and|ing|ion|ent|for"
 NEAR_KEY = r"(pass|pwd|secret|token|key|auth|credential|bearer)[^\n]{0,17}$"
 NEAR_HASH = r"(commit|sha1|sha256|sha512|md5|checksum|digest|uuid|guid|revision|etag|hash|isbn)[^\n]{0,13}$"
@@ -114,15 +118,18 @@ def score_sql(forest: list[Node], prefix: str = "") -> str:
 
 def strip(text: str, spark: bool = True) -> str:
     """A candidate without the assignment before its value."""
-    return f"regexp_replace({text}, {quoted('^(?:' + ASSIGN + ')', spark)}, '')"
+    return f"regexp_replace({text}, {quoted('^(?:' + (f'{NAMED})(?={VALUE}' if spark else ASSIGN) + ')', spark)}, '')"
 
 
 def scored(text_col: str, forest: list[Node]) -> tuple[Column, Column]:
     """(pieces, hits): the text split at its candidates, and one struct a candidate with its value and score."""
-    cand = quoted(CANDIDATE, True)
+    cand = quoted(FOUND, True)
     pieces = F.expr(f"split({text_col}, {cand}, -1)")
     raw = f"zip_with(slice(split({text_col}, {cand}, -1), 1, size(regexp_extract_all({text_col}, {cand}, 0))), regexp_extract_all({text_col}, {cand}, 0), (gap, m) -> named_struct('gap', gap, 'm', m, 'v', {strip('m')}))"
-    with_before = f"transform({raw}, x -> named_struct('gap', length(x.gap), 'm', x.m, 'v', x.v, 'b', concat(right(x.gap, {BEFORE}), left(x.m, length(x.m) - length(x.v)))))"
+    # a candidate has 8 characters at least, so those before it that reach into BEFORE are few
+    earlier = f"array_join(transform(slice(r, greatest(1, i + 1 - {BEFORE // 8}), least(i, {BEFORE // 8})), y -> concat(right(y.gap, {BEFORE}), right(y.m, {BEFORE}))), '')"
+    before = f"right(if(length(x.gap) >= {BEFORE} or i = 0, x.gap, concat({earlier}, x.gap)), {BEFORE})"
+    with_before = f"transform(array({raw}), r -> transform(r, (x, i) -> named_struct('gap', length(x.gap), 'm', x.m, 'v', x.v, 'b', concat({before}, left(x.m, length(x.m) - length(x.v))))))[0]"
     feats = ", ".join(f"'{n}', {e}" for n, e in feature_sql("x.v", "x.b").items())
     with_features = f"transform({with_before}, x -> named_struct('gap', x.gap, 'm', x.m, 'v', x.v, 'f', named_struct({feats})))"
     out = f"transform({with_features}, x -> named_struct('gap', x.gap, 'm', x.m, 'v', x.v, 'score', {score_sql(forest, 'x.f.')}))"
@@ -130,7 +137,7 @@ def scored(text_col: str, forest: list[Node]) -> tuple[Column, Column]:
 
 
 def rule(match: Column) -> Column:
-    return F.when(match.rlike("^(AKIA|ASIA)"), "aws_key").when(match.rlike("^-----BEGIN"), "private_key").when(match.rlike(f"^({PREFIX})"), "provider_token").when(match.rlike("^(?:" + ASSIGN + ")"), "assignment").otherwise("high_entropy")
+    return F.when(match.rlike("^(AKIA|ASIA)"), "aws_key").when(match.rlike("^-----BEGIN"), "private_key").when(match.rlike(f"^({PREFIX})"), "provider_token").when(match.rlike(f"^(?:{NAMED}){VALUE}"), "assignment").otherwise("high_entropy")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
@@ -140,7 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     Rows that repeat are each scanned; null ids are kept. Other columns are ignored. No rows: no rows.
     """
     forest = forest_of()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(FOUND))
     _, hits = scored("text", forest)
     each = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), hits.alias("hits")).select("doc_id", "row", F.posexplode("hits").alias("ordinal", "x"))
     upto = W.partitionBy("row").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
@@ -155,7 +162,7 @@ def redact(docs: DataFrame, text_col: str = "text", keep: float = KEEP, mask: st
     pieces, hits = scored(f"`{text_col}`", forest)
     cleaned = F.transform(hits, lambda x: F.when(x["score"] >= keep, F.concat(F.left(x["m"], F.length(x["m"]) - F.length(x["v"])), F.lit(mask))).otherwise(x["m"]))
     joined = F.array_join(F.zip_with(pieces, cleaned, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return docs.withColumn(text_col, F.when(F.col(text_col).rlike(CANDIDATE), joined).otherwise(F.col(text_col)))
+    return docs.withColumn(text_col, F.when(F.col(text_col).rlike(FOUND), joined).otherwise(F.col(text_col)))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
