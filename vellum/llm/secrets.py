@@ -27,8 +27,13 @@ LONG = r"[0-9A-Za-z+/_-]{20,}={0,2}"
 CANDIDATE = f"{PREFIX}|{ASSIGN}{VALUE}|{LONG}"
 #: An assignment with the whole name before it, from where a LONG run could begin, so that no long name hides its value.
 NAMED = f"(?:(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]*?)?{ASSIGN}"
-#: What is scanned for; the SQL of oracle() has CANDIDATE, without long names.
-FOUND = f"{PREFIX}|{NAMED}{VALUE}|{LONG}"
+#: A private key: up to its END line or, where that is missing, to the end of its base64 lines; else its header alone.
+#: Loops over one character at a time, possessive, so that no text is too long for the stack.
+HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_LINE_ENDS = r"\s(?!\n?[ \t]*+[0-9A-Za-z+/\\]++={0,2}+[ \t\r]*+(?:\n|\z))"
+BLOCK = rf"{HEADER}(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+){{0,4}}+(?=\s*+[0-9A-Za-z+/\\]{{20}})\s*+(?:(?!{_LINE_ENDS})[0-9A-Za-z+/=\\\s])*+)?"
+#: What is scanned for; the SQL of oracle() has CANDIDATE, without long names and with a private key's header alone.
+FOUND = f"{BLOCK}|{PREFIX}|{NAMED}{VALUE}|{LONG}"
 DICTIONARY = "password|passwort|secret|token|example|sample|change|default|please|value|string|number|random|public|private|server|client|config|system|return|please|there|their|which|about|would|these|other|words|people|before|after|under|never|with|that|this|from|have|your|here|none|null|true|false|test|user|name|data|file|home|path|http|www|com|und|der|die|das|nicht|que|los|las|para|les|des|une|pour|dans|the|and|ing|ion|ent|for"
 NEAR_KEY = r"(pass|pwd|secret|token|key|auth|credential|bearer)[^\n]{0,17}$"
 NEAR_HASH = r"(commit|sha1|sha256|sha512|md5|checksum|digest|uuid|guid|revision|etag|hash|isbn)[^\n]{0,13}$"
@@ -130,8 +135,10 @@ def scored(text_col: str, forest: list[Node]) -> tuple[Column, Column]:
     earlier = f"array_join(transform(slice(r, greatest(1, i + 1 - {BEFORE // 8}), least(i, {BEFORE // 8})), y -> concat(right(y.gap, {BEFORE}), right(y.m, {BEFORE}))), '')"
     before = f"right(if(length(x.gap) >= {BEFORE} or i = 0, x.gap, concat({earlier}, x.gap)), {BEFORE})"
     with_before = f"transform(array({raw}), r -> transform(r, (x, i) -> named_struct('gap', length(x.gap), 'm', x.m, 'v', x.v, 'b', concat({before}, left(x.m, length(x.m) - length(x.v))))))[0]"
-    feats = ", ".join(f"'{n}', {e}" for n, e in feature_sql("x.v", "x.b").items())
-    with_features = f"transform({with_before}, x -> named_struct('gap', x.gap, 'm', x.m, 'v', x.v, 'f', named_struct({feats})))"
+    # a private key is judged by its header, as the labelled ones are
+    judged = f"transform({with_before}, x -> named_struct('gap', x.gap, 'm', x.m, 'v', x.v, 'b', x.b, 'w', if(startswith(x.v, '-----BEGIN '), regexp_extract(x.v, {quoted('^' + HEADER, True)}, 0), x.v)))"
+    feats = ", ".join(f"'{n}', {e}" for n, e in feature_sql("x.w", "x.b").items())
+    with_features = f"transform({judged}, x -> named_struct('gap', x.gap, 'm', x.m, 'v', x.v, 'f', named_struct({feats})))"
     out = f"transform({with_features}, x -> named_struct('gap', x.gap, 'm', x.m, 'v', x.v, 'score', {score_sql(forest, 'x.f.')}))"
     return pieces, F.expr(out)
 
