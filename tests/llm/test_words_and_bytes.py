@@ -188,3 +188,123 @@ def test_very_long_text(spark):
     b = {r.doc_id: (r.n_words, r.n_removed) for r in words_dedup.remove_repeats(df).drop("kept").collect()}
     assert b[1] == (540_000, 0) and b[3] == (540_000, 540_000)
     assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {1, 2}
+
+
+def shared_by_many(seed, n=400):
+    """A passage that nearly all texts hold, with neighbours of its own in each, and 120 equal rows."""
+    r = random.Random(seed)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(1, 7))) for _ in range(n))
+    common_words = words(70)
+    rows = [(i, f"{words(r.randint(5, 60))} {common_words} {words(r.randint(5, 60))}") for i in range(n)]
+    ends = [words(3) for _ in range(6)]
+    rows += [(n + i, f"{r.choice(ends)} {common_words} {r.choice(ends)} {words(30)}") for i in range(60)]
+    return rows + [(n + 100, words(80) + " " + common_words)] * 120 + [(n + 200, words(90))]
+
+
+def brute_words(rows, window):
+    words = [WORD.findall((t or "").encode()) for _, t in rows]
+    least = {}
+    for (k, _), w in zip(rows, words, strict=True):
+        for p in range(len(w) - window + 1):
+            x = tuple(w[p : p + window])
+            least[x] = min(least.get(x, k), k)
+    want = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            if least[tuple(w[p : p + window])] < i:
+                gone[p : p + window] = [True] * window
+        want.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    return sorted(want)
+
+
+def brute_bytes(rows, length=200):
+    raw, seen = [(t or "").encode() for _, t in rows], {}
+    for n, x in enumerate(raw):
+        for p in range(len(x) - length + 1):
+            seen.setdefault(x[p : p + length], []).append((n, p))
+    gone = [bytearray(len(x)) for x in raw]
+    for places in seen.values():
+        if len(places) > 1:
+            for n, p in places:
+                gone[n][p : p + length] = b"\1" * length
+    return sorted((i, len(x), sum(g), hashlib.sha256(bytes(c for c, y in zip(x, g, strict=True) if not y)).hexdigest()) for (i, _), x, g in zip(rows, raw, gone, strict=True))
+
+
+@pytest.mark.parametrize("anchor, batch, held", [(256, 8, 32 << 20), (2, 10**9, 32 << 20), (10**9, 1, 32 << 20), (10**9, 10**9, 4000), (0, 0, 1000)])
+def test_hot_anchors_give_the_same(spark, monkeypatch, anchor, batch, held):
+    from vellum.llm import repeats
+
+    for name, value in (("HOT_ANCHOR", anchor), ("HOT_BATCH", batch), ("HELD", held)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = shared_by_many(5)
+    df = frame(spark, rows).repartition(7)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in words_dedup.remove_repeats(df).drop("kept").collect())
+    assert got == brute_words(rows, 50)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in bytes_dedup.remove_repeats(df).drop("kept").collect())
+    assert got == brute_bytes(rows)
+
+
+def test_hot_anchors_take_that_way(spark, monkeypatch):
+    from vellum.llm import repeats
+
+    kinds = {r.kind for r in repeats.fates(repeats.run_rows(repeats.identified(frame(spark, shared_by_many(5)), "doc_id", "text"), words_dedup.cut_words(50), True), True).select("kind").distinct().collect()}
+    assert repeats.HOT in kinds and repeats.SPAN in kinds
+
+
+@pytest.mark.parametrize("window", [50, 1])
+def test_long_texts_are_cut_without_loss(monkeypatch, window):
+    """Parts of a long text have each window once, anchors inside their runs, and hashes that don't depend on the cut."""
+    import numpy as np
+
+    from vellum.llm import common
+
+    r = random.Random(9)
+    text = " ".join("".join(r.choices("abc", k=r.randint(1, 5))) for _ in range(30_000)).encode() + b" " + b"x" * 9000 + b" end"
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    seen = {}
+    for piece in (1 << 20, 5000):
+        monkeypatch.setattr(common, "PIECE", piece)
+        monkeypatch.setattr(common.pieces, "__defaults__", (piece,))
+        row, v, _, s, n, a = (np.concatenate(x) for x in zip(*words_dedup.cut_words(window)(data, off), strict=True))
+        gram = words_dedup.levels(window)[0]
+        assert (a >= s + n - 1).all() and (a + gram <= s + window).all()
+        starts = np.repeat(s, n) + words_dedup.within(n)
+        assert np.array_equal(np.sort(starts), np.arange(30_002 - window + 1))
+        seen[piece] = np.stack([np.repeat(v, n), np.repeat(a, n).astype(np.uint64)])[:, np.argsort(starts)]
+    assert np.array_equal(seen[1 << 20], seen[5000])
+
+
+def test_places_beyond_a_part_are_refused():
+    import numpy as np
+
+    from vellum.llm import runs
+
+    with pytest.raises(ValueError):
+        runs.runs(np.zeros((1 << runs.POSITION) + 2, np.uint64), np.array([0, (1 << runs.POSITION) + 1]), 50, 13)
+
+
+def test_more_words_than_a_place_has_bits(spark):
+    """A text of 4.5 million words, whose last ones stand in two other texts as well."""
+    rows = spark.range(1).selectExpr("1L as doc_id", "array_join(transform(sequence(1, 4500000), x -> cast(x as string)), ' ') as text")
+    tail = [str(k) for k in range(4_499_901, 4_500_001)]
+    others = spark.createDataFrame([(0, "first " + " ".join(tail) + " last"), (2, " ".join(tail[:60]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in words_dedup.remove_repeats(rows.union(others)).drop("kept", "spans").collect()}
+    assert got[0] == (102, 0) and got[1] == (4_500_000, 100) and got[2] == (60, 60)
+
+
+def test_column_wise_files_give_the_same(tmp_path):
+    import numpy as np
+
+    from vellum.llm.columnwise import repeated_starts
+
+    r = random.Random(1)
+    texts = ["".join(r.choices("ab", k=r.randint(0, 60))).encode() for _ in range(60)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    own, files = repeated_starts(data, off, 7), repeated_starts(data, off, 7, str(tmp_path))
+    seen = {}
+    for x in texts:
+        for p in range(len(x) - 6):
+            seen[x[p : p + 7]] = seen.get(x[p : p + 7], 0) + 1
+    want = [p + 7 <= len(x) and seen[x[p : p + 7]] > 1 for x in texts for p in range(len(x))]
+    assert own.tolist() == files.tolist() == want and not any(tmp_path.iterdir())

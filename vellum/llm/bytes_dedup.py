@@ -8,21 +8,21 @@ where a repeat ends, the bytes that the windows of one run cover, its anchor rep
 from __future__ import annotations
 
 import hashlib
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, repeats
 from .columnwise import repeated_starts
+from .repeats import within
 from .runs import byte_parts, merged, runs
 
 LENGTH, GRAM = 200, 120
-#: Bytes of strings in one construction; a single anchor with more goes through files.
+#: Bytes of strings from which on a construction begins; one more anchor's (repeats.HOT_ANCHOR strings) is all it can have.
 COLLECTION = 1 << 21
 #: Bytes that UTF-8 never has, as digits of an anchor's number.
 DIGITS = np.array([0xC0, 0xC1, *range(0xF5, 0xFD)], np.uint8)
@@ -48,14 +48,9 @@ def collection(table: pa.Table, length: int, gram: int) -> pa.RecordBatch | None
     sizes = np.array(list(map(len, parts))).reshape(-1, 3).sum(axis=1)
     off = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(parts), np.uint8)
-    folder = tempfile.mkdtemp() if len(data) > 8 * COLLECTION else None
-    try:
-        hit = repeated_starts(data, off, length - gram + digits, folder)
-    finally:
-        if folder:
-            shutil.rmtree(folder, ignore_errors=True)
+    hit = repeated_starts(data, off, length - gram + digits)
     check = np.flatnonzero(kinds == repeats.CHECK)
-    at = np.repeat(off[check], n[check]) + _within(n[check])
+    at = np.repeat(off[check], n[check]) + within(n[check])
     owner = np.repeat(check, n[check])
     good = hit[at]
     begins = good & ~np.concatenate([[False], good[:-1] & (owner[1:] == owner[:-1])])
@@ -67,8 +62,27 @@ def collection(table: pa.Table, length: int, gram: int) -> pa.RecordBatch | None
     return pa.record_batch([pa.array(rid[owner[b]]), pa.array(begin.astype(np.int32)), pa.array((begin + e - b + length).astype(np.int32))], names=["rid", "b", "e"])
 
 
-def _within(n: np.ndarray) -> np.ndarray:
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+#: Strings to look at (c = -1), dealt by anchor; or hot windows (repeats.one_a_window), dealt by v = their key.
+ASKED = "rid long, v long, s int, n int, kind int, lead binary, tail binary, anchor long, c int"
+
+
+def asked_rows(rid, v, s, n, kind, lead, tail, anchor, c) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(rid), pa.array(v), *(pa.array(x.astype(np.int32)) for x in (s, n, kind)), pa.array(lead, pa.binary()), pa.array(tail, pa.binary()), pa.array(anchor), pa.array(c.astype(np.int32))], names=["rid", "v", "s", "n", "kind", "lead", "tail", "anchor", "c"])
+
+
+def hot_windows(held: list[bytes], rid: np.ndarray, v: np.ndarray, s: np.ndarray, n: np.ndarray, kind: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """ASKED rows of the windows of hot runs, whose bytes are in ``held``."""
+    first = np.concatenate([[0], np.cumsum([len(x) for x in held])])[:-1]
+    p = common.prefix_hash(common.byte_values(np.frombuffer(b"".join(held), np.uint8)))
+    n = n.astype(np.int64)
+    each = np.repeat(first, n) + within(n)
+    c = np.where(kind == repeats.HOT_PARTNER, 2, 1)
+    key, v, _, rid, s, c = repeats.one_a_window(common.span_hash(p, each, each + length), np.repeat(v, n), np.zeros(len(each), np.int64), np.repeat(rid, n), np.repeat(s, n) + within(n), np.repeat(c, n), smaller=False)
+    nought = np.zeros(len(key), np.int64)
+    for lo in range(0, len(key), 1 << 16):
+        x = slice(lo, lo + (1 << 16))
+        none = [None] * len(key[x])
+        yield asked_rows(rid[x], key[x], s[x], nought[x], nought[x], none, none, v[x], c[x])
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,21 +95,39 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> tup
         for b in batches:
             off, (v, s, n, a, kind) = repeats.lists(b.column(1), ["v", "s", "n", "a", "kind"])
             rid = np.repeat(b.column(0).to_numpy(), np.diff(off))
-            lead, tail = [], []
+            lead, tail, cold, hot, held, hot_bytes = [], [], [], [], [], 0
             for k, text in enumerate(b.column(2)):
-                raw = text.as_py()
+                raw = text.as_buffer()
                 for i in range(off[k], off[k + 1]):
-                    lead.append(raw[s[i] : a[i]])
-                    tail.append(raw[a[i] + gram : s[i] + n[i] - 1 + length])
+                    if kind[i] >= repeats.HOT:
+                        held.append(raw[s[i] : s[i] + n[i] - 1 + length].to_pybytes())
+                        hot.append(i)
+                        hot_bytes += len(held[-1])
+                    else:
+                        lead.append(raw[s[i] : a[i]].to_pybytes())
+                        tail.append(raw[a[i] + gram : s[i] + n[i] - 1 + length].to_pybytes())
+                        cold.append(i)
+                if hot_bytes > 4 * common.PIECE:
+                    yield from hot_windows(held, *(x[hot] for x in (rid, v, s, n, kind)), length)
+                    hot, held, hot_bytes = [], [], 0
+            if held:
+                yield from hot_windows(held, *(x[hot] for x in (rid, v, s, n, kind)), length)
             for lo in range(0, len(lead), 8192):
-                x = slice(lo, lo + 8192)
-                yield pa.record_batch([pa.array(rid[x]), pa.array(v[x]), pa.array(s[x]), pa.array(n[x]), pa.array(kind[x]), pa.array(lead[x], pa.binary()), pa.array(tail[x], pa.binary())], names=["rid", "v", "s", "n", "kind", "lead", "tail"])
+                y, x = cold[lo : lo + 8192], slice(lo, lo + 8192)
+                yield asked_rows(rid[y], v[y], s[y], n[y], kind[y], lead[x], tail[x], v[y], np.full(len(y), -1))
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        hot, cold = t.filter(pc.greater_equal(t["c"], 0)), t.filter(pc.less(t["c"], 0)).combine_chunks()
+        found = [collection(cold, length, gram)] if cold.num_rows else []
+        if hot.num_rows:
+            found.append(repeats.met(*(hot[x].to_numpy() for x in ("v", "anchor")), np.zeros(hot.num_rows, np.int64), *(hot[x].to_numpy() for x in ("rid", "s", "c")), length=length, smaller=False))
+        found = [x for x in found if x is not None]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return repeats.whole_groups(batches, lambda t: collection(t, length, gram), least=COLLECTION)
+        return repeats.whole_groups(batches, work, least=COLLECTION)
 
-    asked = repeats.per_text(texts, found.where(F.col("kind") >= repeats.CHECK), ["v", "s", "n", "a", "kind"], "inner").select("rid", "found", "text")
-    asked = asked.mapInArrow(strings, "rid long, v long, s int, n int, kind int, lead binary, tail binary")
+    asked = repeats.per_text(texts, found.where(F.col("kind") >= repeats.CHECK), ["v", "s", "n", "a", "kind"], "inner").select("rid", "found", "text").mapInArrow(strings, ASKED)
     edges = asked.repartition("v").sortWithinPartitions("v").mapInArrow(build, "rid long, b int, e int")
     return texts, found.where(F.col("kind") == repeats.SPAN).select("rid", F.col("s").alias("b"), (F.col("s") + F.col("n") + length - 1).alias("e")).union(edges)
 

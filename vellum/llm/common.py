@@ -144,6 +144,24 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, stops, np.searchsorted(starts, off)
 
 
+def word_chunks(data: np.ndarray, view: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Iterator[np.ndarray]:
+    """Hashes of the words of one text's ``view``, from about PIECE bytes at a time, cut at white space: what a very long
+    text needs beyond 8 bytes a word is bounded."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + PIECE)
+        while b < len(data):
+            white = np.flatnonzero(_SPACE[data[b : b + 4096]])
+            if len(white):
+                b += int(white[0])
+                break
+            b = min(len(data), b + 4096)
+        part = view(data[a:b])
+        starts, stops, _ = word_spans(part, np.array([0, len(part)]))
+        yield span_hash(prefix_hash(byte_values(part)), starts, stops)
+        a = b
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

@@ -16,6 +16,7 @@ import numpy as np
 from . import common
 
 U64 = np.uint64
+#: Bits of a place within one part of the texts; a part has fewer items than that.
 POSITION = 22
 
 
@@ -34,6 +35,8 @@ def runs(prefix: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np
     the beginning of ``prefix``; texts are first[i]:first[i + 1], windows don't reach from one into another."""
     n = len(prefix) - 1
     none = np.zeros(0, np.int64)
+    if n >= 1 << POSITION:
+        raise ValueError(f"a part of {n} items has places that {POSITION} bits don't hold")
     if n < length:
         return none, none.view(U64), none.view(U64), none, none, none
     _, down = common.powers(n + 1)
