@@ -34,6 +34,9 @@ def normal(data: np.ndarray) -> np.ndarray:
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of the texts, and each text's first word (n + 1 values)."""
+    if len(off) == 2 and len(data) > common.PIECE:
+        words = np.concatenate(list(common.word_chunks(data, normal)))
+        return words, np.array([0, len(words)])
     x = normal(data)
     starts, stops, first = common.word_spans(x, off)
     return common.span_hash(common.prefix_hash(common.byte_values(x)), starts, stops), first
@@ -56,7 +59,8 @@ class Index:
     shingles at most m = floor((1 - overlap) * s) are missing, hence at most m words, at worst the heaviest.
     """
 
-    def __init__(self, items: list[tuple[int, str, str | None]], overlap: float = OVERLAP) -> None:
+    def __init__(self, items: list[tuple[int, str, str | None]], overlap: float = OVERLAP, stride: int = SHINGLE) -> None:
+        """stride: at least as many words as the longest item of all indexes has; that of these items if it is larger."""
         self.overlap = overlap
         self.ids: list[int] = []
         self.question: list[tuple[np.ndarray, int]] = []  # shingles and their length
@@ -71,7 +75,7 @@ class Index:
                 a = self.hashes(answer or "")
                 self.answer.append((shingles(a), min(SHINGLE, max(1, len(a)))))
         n = len(words)
-        self.stride = max([SHINGLE, *map(len, words)])
+        self.stride = max([SHINGLE, stride, *map(len, words)])
         df: dict[int, int] = defaultdict(int)
         for w in words:
             for t in set(w.tolist()):
@@ -190,18 +194,19 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, item_id, overlap): one row for each document and item that it holds.
 
     A document holds an item if some passage of it (2 * stride words, from every stride-th word on; stride is
-    the longest item's length) has ``overlap`` of the item's distinct 5-word shingles; words are runs of letters
-    and digits, case ignored. An item of fewer words is one shingle; an item without words is never held. Where
-    there is an answer, the same share of its shingles must be in the document. Every passage is looked at.
+    the longest item's length in words, of all items, whatever index they are in) has ``overlap`` of the item's distinct
+    5-word shingles; words are runs of letters and digits, case ignored. An item of fewer words is one shingle; an
+    item without words is never held. Where there is an answer, the same share of its shingles must be in the
+    document. Every passage is looked at.
 
-    Items are put into indexes of ``index_bytes`` of text at most (one larger item stands alone), and the
-    documents meet one index after the other, so what is sent to the executors is bounded.
+    Items are put into indexes of ``index_bytes`` of text at most (one larger item stands alone), and the documents
+    meet one index after the other, each writing its rows before the next is built, so driver and executors hold one.
     Null texts hold nothing; null item ids are dropped, null document ids kept. Repeated documents give repeated
     rows, repeated items one row each. Other columns are ignored. Empty tables give no rows.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for index in indexes(items, item_col, question_col, answer_col, overlap, index_bytes):
+    for index, alone in indexes(items, item_col, question_col, answer_col, overlap, index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -210,19 +215,36 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "overlap"])
 
         found = chosen.mapInArrow(run, "doc_id long, item_id long, overlap double")
+        if not alone:
+            found = common.written(found, "matches")
         out = found if out is None else out.union(found)
     return out
 
 
-def indexes(items: DataFrame, item_col: str, question_col: str, answer_col: str | None, overlap: float, index_bytes: int) -> Iterator[Index]:
-    """One index after the other, each of at most about ``index_bytes`` of text; the first even if there is no item."""
+def longest(listed: DataFrame) -> int:
+    """Words of the longest item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = common.to_binary(b.column(0))
+            for lo, hi in common.pieces(off):
+                _, first = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield pa.record_batch([pa.array([int(np.diff(first).max(initial=0))])], names=["n"])
+
+    return listed.select("q").mapInArrow(run, "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def indexes(items: DataFrame, item_col: str, question_col: str, answer_col: str | None, overlap: float, index_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """One index after the other, each of at most about ``index_bytes`` of text, and whether it is the only one; the
+    first comes even if there is no item."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     listed = items.where(F.col(item_col).isNotNull() & F.col(question_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), answer.alias("a")).distinct()
     size = listed.agg(F.coalesce(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-2 * size // index_bytes)) if size > index_bytes else 1
+    stride = longest(listed) if parts > 1 else SHINGLE
     for part in range(parts):
         mine = listed if parts == 1 else listed.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(parts)) == part)
-        yield Index(sorted(((r["i"], r["q"], r["a"]) for r in mine.collect()), key=lambda r: (r[0], r[1], r[2] or "")), overlap)
+        yield Index(sorted(((r["i"], r["q"], r["a"]) for r in mine.collect()), key=lambda r: (r[0], r[1], r[2] or "")), overlap, stride), parts == 1
 
 
 def held(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
@@ -245,17 +267,25 @@ def held(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Rows that hold no item (see matches); columns as they are."""
-    for index in indexes(items, item_col, question_col, answer_col, overlap, index_bytes):
+    """Rows that hold no item (see matches); columns as they are. Null texts stay, as do all rows if there is no item;
+    rows that repeat stay or go together."""
+    text = F.col(text_col).cast("string")
+    index, alone = next(indexes(items, item_col, question_col, answer_col, overlap, index_bytes))
+    if alone:
 
-        def clean(x: list[pa.Array], index: Index = index) -> np.ndarray:
+        def clean(x: list[pa.Array]) -> np.ndarray:
             keep = np.ones(len(x[0]), bool)
             keep[[row for row, _, _ in held(index, x[0])]] = False
             return keep
 
-        docs = common.filtered(docs, clean, F.col(text_col).cast("string"))
-    return docs
+        return common.filtered(docs, clean, text)
+    del index
+    tid = common.unused(docs, "tid")
+    keyed = docs.withColumn(tid, F.xxhash64(text))
+    found = matches(keyed.select(tid, text.alias("text")), items, tid, "text", item_col, question_col, answer_col, overlap, index_bytes)
+    return keyed.join(found.select(F.col("doc_id").alias(tid)).distinct(), tid, "left_anti").drop(tid)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    items = common.table(spark, sf_dir, "benchmark")
+    return matches(common.table(spark, sf_dir, "documents"), items, answer_col="answer" if "answer" in items.columns else None)
