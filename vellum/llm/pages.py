@@ -15,53 +15,79 @@ from pyspark.sql import functions as F
 from . import common
 from .trees import Node, fit_tree, shares
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*'|["'])*)(?:>|(?=<)|\Z)""", re.DOTALL)
+#: Comments, declarations and tags. A value in quotes after = reaches to its closing quote, whatever it holds; a quote that
+#: none closes is a character like others. Loops don't go back, so that no page takes more than its length.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|(?=<)|\Z)""", re.DOTALL)
+#: Of these alone a closing slash ends the element, and only where it isn't the end of an unquoted value.
+SELF_CLOSING = re.compile(r"""(?:\A|[\s"'])/\s*\Z""")
+FOREIGN = frozenset(["svg", "math"])
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas title textarea audio video head".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Blocks that stand on the stack, so that what they hold knows where it is.
 HOLDS = frozenset("article aside body button details dialog div dl fieldset figure footer form header main menu nav ol section select table td th tr ul".split())
-AWAY = frozenset("nav footer aside form button select menu dialog fieldset".split())
+AWAY = frozenset("nav footer aside button select menu dialog fieldset".split())
 AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense alert aside author banner breadcrumb breadcrumbs captcha comment comments commentlist respond consent cookie cookies copyright disqus dialog footer foot form gdpr login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended register related replies reply search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
 HEAD_WORDS = frozenset(["header"])
 CONTENT_WORDS = frozenset("article articlebody content entry main post story".split())
+#: In a class name with one of these, an away word says what stands beside or inside the element, not what it is.
+LAYOUT_WORDS = frozenset("has with without no layout wrap wrapper container page".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "away", "inside"]
 
 
+AWAY_KIND, LOOSE, NEITHER, CONTENT = -2, -1, 0, 1
+
+
 def kind(tag: str, attributes: str, inside: bool) -> int:
-    """-1: a menu, header, sidebar, notice, advert, form or comments; 1: an article; 0: neither."""
-    away, content = tag in AWAY or tag == "header" and not inside, tag in ("article", "main")
+    """AWAY_KIND: a menu, header, sidebar, notice, advert or comments; LOOSE: a form, which is away unless an article opens in
+    it; CONTENT: an article; NEITHER, also where class names disagree, so that words and links decide."""
+    away, content, hidden = tag in AWAY or tag == "header" and not inside, tag in ("article", "main"), False
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                words = {w.lower() for w in SPLIT.split(value)}
-                away |= bool(words & AWAY_WORDS) or bool(words & HEAD_WORDS) and not inside and not words & CONTENT_WORDS
-                content |= bool(words & CONTENT_WORDS)
+                bad = good = False
+                for each in value.split():
+                    words = {w.lower() for w in SPLIT.split(each)} - {tag}
+                    if words & LAYOUT_WORDS:
+                        continue
+                    if words & AWAY_WORDS or words & HEAD_WORDS and not inside and not words & CONTENT_WORDS:
+                        bad = True
+                    elif words & CONTENT_WORDS:
+                        good = True
+                if bad != good:
+                    away |= bad
+                    content |= good
             elif name == "role":
                 away |= value.lower() in AWAY_ROLES
                 content |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                away = True
-    return -1 if away and tag not in ("body", "html", "article", "main") else int(content)
+                hidden = True
+    if tag in ("body", "html"):
+        return NEITHER
+    if hidden or away and tag not in ("article", "main"):
+        return AWAY_KIND
+    if tag == "form" and not content:
+        return LOOSE
+    return CONTENT if content else NEITHER
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """The page as flat text blocks in order: (text, words, words in links, away, inside)."""
     out: list[tuple[str, int, int, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []
-    linked, in_link, away, inside, at = [], False, 0, 0, 0
+    stack: list[tuple[str, int, int, int]] = []  # tag, and what held before it
+    linked, in_link, away, loose, inside, at = [], False, 0, 0, 0, 0
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                out.append((" ".join(words), len(words), min(len(words), len(html.unescape("".join(linked)).split())), int(away > 0), int(inside > 0)))
+                out.append((" ".join(words), len(words), min(len(words), len(html.unescape("".join(linked)).split())), int(away + loose > 0), int(inside > 0)))
         parts, linked = [], []
 
     def add(text: str) -> None:
@@ -82,7 +108,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
+            if tag not in FOREIGN or not SELF_CLOSING.search(m[3]):
                 end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else (at if tag == "head" else n)
             continue
@@ -100,13 +126,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in HOLDS:
             if not closing:
                 k = kind(tag, m[3], inside > 0)
-                stack.append((tag, k))
-                away, inside = away + (k < 0), inside + (k > 0)
-            elif any(t == tag for t, _ in stack):
+                stack.append((tag, away, loose, inside))
+                away, loose, inside = away + (k == AWAY_KIND), (0 if k == CONTENT else loose + (k == LOOSE)), inside + (k == CONTENT)
+            elif any(x[0] == tag for x in stack):
                 in_link = False
                 while True:
-                    t, k = stack.pop()
-                    away, inside = away - (k < 0), inside - (k > 0)
+                    t, away, loose, inside = stack.pop()
                     if t == tag:
                         break
     close()
@@ -125,39 +150,55 @@ def features(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
     return x
 
 
-def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """The labelled table: blocks of made-up pages of usual layouts (menus, adverts, footers and link lists round an
-    article, with and without its own element), 1 for article text. Deterministic; about a thousand rows."""
-    rng = np.random.default_rng(20)
-    xs, ys = [], []
-    for page in range(72):
-        rows: list[tuple[str, int, int, int, int, int]] = []
-        marked, body, bare = page % 3 != 0, [], page >= 60
-        for _ in range(0 if bare else int(rng.integers(0, 9))):
-            w = int(rng.integers(1, 5))
-            rows.append(("", w, w, int(rng.random() < 0.7), 0, 0))
-        for _ in range(0 if bare else int(rng.integers(0, 3))):
-            rows.append(("", int(rng.integers(2, 40)), 0, 1, 0, 0))
-        for k in range(int(rng.integers(1, 4) if bare else rng.integers(2, 12))):
-            w = int(rng.integers(1, 9)) if marked and rng.random() < 0.4 else int(rng.integers(15, 150))
-            w = int(rng.integers(4, 12)) if k == 0 and not bare else w
-            body.append(("", w, int(w * rng.choice([0, 0, 0, 0.1, 0.2]) * (w > 10)), 0, int(marked), 1))
-            if marked and rng.random() < 0.15:
-                x = int(rng.integers(2, 30))
-                body.append(("", x, int(x * rng.choice([0, 1])), 1, 1, 0))
-        rows += body
-        if bare:
-            xs.append(features([r[:5] for r in rows]))
-            ys += [r[5] for r in rows]
-            continue
-        for _ in range(int(rng.integers(0, 7))):
-            w = int(rng.integers(1, 8))
-            rows.append(("", w, w, int(rng.random() < 0.6), 0, 0))
+def labelled_page(rng: np.random.Generator) -> str:
+    """One made-up page of a usual layout; blocks of the article begin with MARK. Text round it comes in elements that say
+    what it is or in ones that don't; the article in an element of its own, in a plain one, or in none, and at
+    times in a form or a box that is named after a sidebar."""
+    r = rng.random
+    words = lambda lo, hi: " ".join(["word"] * int(rng.integers(lo, hi)))
+    link = lambda lo, hi: f'<a href="/x">{words(lo, hi)}</a>'
+    pick = lambda *x: x[int(rng.integers(0, len(x)))]
+    bare = r() < 0.2
+    own = pick("", "", "<article>", "<main>", '<div class="post-content">', '<section id="story">')
+    said = lambda inner, *tags: (lambda t: f"{t}{inner}</{t[1:].split(' ')[0].rstrip('>')}>")(pick(*tags))
+    menu = "<ul>" + "".join(f"<li>{link(1, 5)}</li>" for _ in range(int(rng.integers(2, 9)))) + "</ul>"
+    before = [] if bare else [said(menu, "<nav>", '<div class="menu">', '<div class="x">', "<div>")]
+    if not bare and r() < 0.6:
+        before.append(said(f"<p>{words(2, 40)}</p>", '<div class="cookie-notice">', '<div class="ad">', '<div class="banner">', "<header>"))
+    body = []
+    for k in range(int(rng.integers(1, 4) if bare else rng.integers(3, 13))):
+        short = own and r() < 0.35 or k == 0 and not bare
+        tag = "h1" if k == 0 and not bare else "h2" if own and r() < 0.1 else "p"
+        text = words(1, 9) if short else words(15, 150)
+        body.append(f"<{tag}>{MARK} {text}{' ' + link(1, 9) if tag == 'p' and not short and r() < 0.3 else ''}</{tag}>")
+        if own and r() < 0.15:
+            body.append(said(f"<p>{pick(words, link)(2, 30)}</p>", "<aside>", '<div class="related">', '<div class="share">'))
+    article = "\n".join(body)
+    article = said(article, own) if own else article
+    wrap = "" if bare or r() < 0.7 else pick('<div class="content-sidebar-wrap">', '<div class="has-sidebar">', "<form>" if own else "<div>")
+    article = said(article, wrap) if wrap else article
+    after = []
+    if not bare:
+        if r() < 0.7:
+            after.append(said("<ul>" + "".join(f"<li>{link(1, 8)}</li>" for _ in range(int(rng.integers(1, 7)))) + "</ul>", "<aside>", '<div class="related">', "<div>", "<div>"))
         for _ in range(int(rng.integers(0, 4))):
-            rows.append(("", int(rng.integers(3, 60)), 0, 1, 0, 0))
-        rows.append(("", int(rng.integers(2, 9)), int(rng.integers(0, 2)), int(rng.random() < 0.8), 0, 0))
-        xs.append(features([r[:5] for r in rows]))
-        ys += [r[5] for r in rows]
+            after.append(said(f"<p>{words(3, 60)}</p>", '<div class="comments">', '<div id="sidebar">', "<form>", '<div class="newsletter">'))
+        after.append(said(f"<p>{words(2, 9)} {link(1, 2) if r() < 0.3 else ''}</p>", "<footer>", "<footer>", '<div class="footer">', "<div>"))
+    return f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>"
+
+
+MARK = "article:"
+
+
+def labelled(pages: int = 120, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: the blocks of ``pages`` made-up pages, read as any page is, 1 for article text. Deterministic;
+    some fifteen hundred rows."""
+    rng = np.random.default_rng(seed)
+    xs, ys = [], []
+    for _ in range(pages):
+        found = [(text, words - text.startswith(MARK), links, away, inside) for text, words, links, away, inside in blocks(labelled_page(rng))]
+        xs.append(features(found))
+        ys += [int(b[0].startswith(MARK)) for b in found]
     return np.concatenate(xs), np.array(ys)
 
 
@@ -179,7 +220,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row, from the whole html.
 
     Null and empty html, and pages without article text, give an empty text. Unclosed and unmatched tags, cut-off
-    tags and comments are read as browsers do. Rows that repeat are rows of the result; null ids and urls are
+    tags and comments are read as browsers do; a value whose quote isn't closed ends at the tag's first >. Rows that repeat are rows of the result; null ids and urls are
     kept; other columns are ignored. An empty table gives no rows.
     """
     tree = tree or classifier()
