@@ -60,6 +60,43 @@ def test_language_uses_the_text_alone(spark, docs):
     assert a.exceptAll(language.predict(changed, model).select("doc_id", "lang_pred", "score")).count() == 0
 
 
+FOREIGN = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki", "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待", "xqzvk wjpfq zzkxv qqwv bnmzx kjhgf dfgvc xcvbq wrtzp qxzwv kkjzq vvbxw pqzxv", "QmFzZTY0IGlzIG5vIGxhbmd1YWdl" * 20]
+
+
+def test_language_rejects_what_it_has_not_learned(spark, docs):
+    model = language.train(docs)
+    got = language.predict(frame(spark, FOREIGN), model).collect()
+    assert [r.doc_id for r in got if not r.rejected] == []
+    known = language.predict(docs.where("lang is not null and length(text) < 200"), model)
+    assert known.count() > 20 and known.where("rejected").count() == 0
+    two = language.train(docs.where("lang in ('en', 'fr')"))
+    other = language.predict(docs.where("lang = 'de' and length(text) > 500"), two)
+    assert other.where("rejected").count() > 0.9 * other.count() > 10
+
+
+def test_many_languages(spark):
+    """300 labels, each with letters of its own at the beginning of its words: none is left out."""
+    r = random.Random(2)
+    rows = [(k, " ".join(f"{chr(97 + k % 300 // 12)}{chr(97 + k % 12)}z{r.choice('abcdefgh')}" for _ in range(40)), f"l{k % 300:03}") for k in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert len(model.langs) == 300
+    got = language.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.where("lang = lang_pred").count() > 0.9 * got.count()
+
+
+def test_long_texts_are_judged_in_parts(spark, docs, monkeypatch):
+    model = language.train(docs)
+    data = np.frombuffer(" ".join(r.text for r in docs.where("lang = 'fr'").limit(20).collect()).encode(), np.uint8)
+    off = np.array([0, len(data)])
+    whole = model.sums(data, off)
+    monkeypatch.setattr(common, "PIECE", 2048)
+    p, seen = model.judge(data, off)
+    assert p[0].argmax() == model.langs.index("fr")
+    parts = [model.sums(x, np.array([0, len(x)]), 1024) for x in (data[a : a + 1027] for a in range(0, len(data), 1024))]
+    assert all(np.allclose(sum(x), y) for x, y in zip(zip(*parts, strict=True), whole, strict=True))
+
+
 # 5
 
 
