@@ -58,8 +58,9 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): fingerprints within 4 bits share a key.
 
     At most 4 errors fall on three parts. If one part has none, another has 2 at most: keys of one part's bits and
-    another's near2 index. Otherwise two parts have just one each: keys of two parts' near1 indices. About 60 keys
-    a fingerprint, of 33 and of 24 bits.
+    another's near2 index. Otherwise two parts have just one each and the third 2 at most: keys of two parts' near1 indices
+    and the third's near2 index. About 180 keys a fingerprint, of 33 and of 36 bits, so that buckets of fingerprints that
+    aren't near stay small: of n random ones a key has some n * 6 / 2**33, and n * 48 / 2**36, others.
     """
     parts = [((fps >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in PARTS]
     codes = [near(p, b) for p, (_, b) in zip(parts, PARTS, strict=True)]
@@ -76,11 +77,14 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(i):
             a, keep_a, _ = codes[i]
             b, keep_b, _ = codes[j]
+            c = codes[3 - i - j][0]
             for ca in range(a.shape[1]):
                 for cb in range(b.shape[1]):
-                    r = np.flatnonzero(keep_a[:, ca] & keep_b[:, cb])
-                    rows.append(r)
-                    keys.append((family << 40) | (a[r, ca].astype(np.int64) << 12) | b[r, cb])
+                    both = keep_a[:, ca] & keep_b[:, cb]
+                    for cc in range(c.shape[1]):
+                        r = np.flatnonzero(both & (c[:, cc] != 0xFFFF))
+                        rows.append(r)
+                        keys.append((family << 40) | (a[r, ca].astype(np.int64) << 24) | (b[r, cb].astype(np.int64) << 12) | c[r, cc])
             family += 1
     return np.concatenate(rows), np.concatenate(keys)
 
