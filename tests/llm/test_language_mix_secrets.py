@@ -138,6 +138,15 @@ def test_taken_rows_keep_their_columns(spark):
     assert got.columns[: len(df.columns)] == df.columns and got.where("mix_taken <= 0").count() == 0
 
 
+def test_equal_rows_share_the_target(spark):
+    df = frame(spark, ["a b c d", None, "x y"], sources=["s", "s", "t"])
+    df = df.where("doc_id <> 2").union(df.where("doc_id = 0")).union(df.where("doc_id = 0")).union(df.where("doc_id = 2")).withColumn("mix_taken", F.lit("old"))
+    got = mixing.take_mix(df).collect()
+    want = {r.source_size: math.floor(r.target) for r in mixing.mix_sources(df).collect()}
+    assert sum(r.mix_taken for r in got if r.source == "s") == want[12] and sum(r.mix_taken for r in got if r.source == "t") == want[2]
+    assert all(r.mix_taken <= 3 * r.mix_size and r.text for r in got)
+
+
 # 6
 
 

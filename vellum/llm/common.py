@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a local master (tests on one machine), and
+    an error on a cluster, whose machines wouldn't see it."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not where:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
         where = spark.sparkContext.getCheckpointDir()

@@ -46,26 +46,39 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A hot source doesn't meet in one task: its rows are dealt by the first hex digits of the hash, summed
     there, and only these sums (4096 a source at most) are put in order source by source.
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Null id: hashed as empty.
-    Rows that repeat an id: each counts, in either order. No rows: no rows. Other columns are ignored.
+    Rows that repeat an id: each counts, in order of size and text. No rows: no rows. Other columns are ignored.
     """
+    rows = common.written(sized(docs, id_col, text_col, source_col, seed), "sizes")  # so that texts are counted once
+    out = mixed(rows, rows, epochs, cycle).select("doc_id", "size", "source_size", "target", "taken")
+    return out.withColumn("repetitions", repetitions())
+
+
+def repetitions() -> Column:
+    return F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """(doc_id, source, size, h, tie, s, bucket) and ``more`` of every row: h orders a source's rows, s is its source, never null."""
     order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h"))
-    rows = rows.withColumn("bucket", F.substring("h", 1, DIGITS)).repartition("source", "bucket")
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h"), F.xxhash64(F.col(text_col)).alias("tie"), *more)
+    return rows.withColumns({"s": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "bucket": F.substring("h", 1, DIGITS)})
+
+
+def mixed(rows: DataFrame, counted: DataFrame, epochs: int, cycle: int) -> DataFrame:
+    """``rows`` (see sized) with source_size, target and taken; ``counted`` are the same rows, for the sums."""
+    buckets = counted.groupBy("s", "source", "bucket").agg(F.sum("size").alias("b_size"))
     sources = weighed(buckets.groupBy("source").agg(F.sum("b_size").alias("source_size")), cycle)
-    before = F.coalesce(F.sum("b_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = buckets.withColumn("b_before", before)
-    targets = fill(sources, epochs)
-    starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), F.col("bucket").alias("b"), "b_before", "source_size", "target")
-    joined = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["bucket"] == starts["b"]))
-    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    targets = fill(sources, epochs).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    before = F.coalesce(F.sum("b_size").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = buckets.drop("source").withColumn("b_before", before).join(targets, "s").select("s", "bucket", "b_before", "source_size", "target")
+    joined = rows.repartition("s", "bucket").join(starts, ["s", "bucket"])
+    inside = W.partitionBy("s", "bucket").orderBy("h", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     joined = joined.withColumn("before", F.col("b_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     joined = joined.withColumn("whole", whole)
     rest = F.floor(F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).cast("long")
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    out = joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
-    return out.withColumn("repetitions", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
+    return joined.withColumn("taken", taken.cast("long"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +107,14 @@ select doc_id, size, source_size, target,
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, cycle: int = CYCLE, seed: str = SEED) -> DataFrame:
     """The rows that the mix takes, with their columns and mix_size, mix_target, mix_taken (words) and mix_repetitions
-    (epochs of the document; the part beyond whole ones is its first words). Columns of these names are replaced."""
-    rid = common.unused(docs, "rid")
-    keyed = docs.withColumn(rid, common.row_key(id_col, text_col))
-    mix = mix_sources(keyed, rid, text_col, source_col, epochs, cycle, seed).where("taken > 0").dropDuplicates(["doc_id"])
-    mix = mix.select(F.col("doc_id").alias(rid), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"), F.col("repetitions").alias("mix_repetitions"))
-    return keyed.drop(*mix.columns[1:]).join(mix, rid).drop(rid)
+    (epochs of the document; the part beyond whole ones is its first words). Columns of these names are replaced.
+
+    Rows go through the mix themselves, so each of those that repeat has its own share and a source's shares sum to its
+    target, rounded down; of rows with equal id, text and source any may be the one that gives less. Nulls as in
+    mix_sources: null and empty texts have no words, so they aren't taken. No rows: no rows.
+    """
+    names = {"size": "mix_size", "target": "mix_target", "taken": "mix_taken", "repetitions": "mix_repetitions"}
+    chosen = sized(docs, id_col, text_col, source_col, seed, F.struct(F.col("*")).alias("row"))
+    out = mixed(chosen, sized(docs, id_col, text_col, source_col, seed), epochs, cycle).where("taken > 0").withColumn("repetitions", repetitions())
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in names.values()]
+    return out.select(*kept, *(F.col(a).alias(b) for a, b in names.items()))
