@@ -102,6 +102,27 @@ def unclip_distance(points: Column, ratio: float = 1.6) -> Column:
     return F.when(around > 0, area * ratio / around).otherwise(0.0)
 
 
+def unclip_box(points: Column, ratio: float = 1.6) -> dict[str, Column]:
+    """A convex polygon moved outwards by its unclip distance with rounded corners: the offset's axis-aligned edges and its
+    area (area + distance * perimeter + pi * distance squared). Both are null where there is no area."""
+    area, around = shoelace(points)
+    d = F.when((area > 0) & (around > 0), area * ratio / around)
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return {"x1": F.array_min(xs) - d, "y1": F.array_min(ys) - d, "x2": F.array_max(xs) + d, "y2": F.array_max(ys) + d, "area": area + d * around + F.pi() * d * d}
+
+
+def net_to_image(points: Column, ratio_w: Column | float, ratio_h: Column | float, net: float = 2.0) -> Column:
+    """Points of a score map of 1 / ``net`` of the size, in the image's coordinates."""
+    return F.transform(points, lambda p: F.struct((p["x"] * (ratio_w * net)).alias("x"), (p["y"] * (ratio_h * net)).alias("y")))
+
+
+def plan_fit(w: Column, h: Column, tail_mean: Column, height: int = 32, width: int = 512) -> dict[str, Column]:
+    """A sample at the generator's height: its scaled width, the columns padded to the right, the grey they get (the mean
+    of the last ten columns, 255 for widths up to 10), and whether it is squeezed instead."""
+    new = (w * (F.lit(float(height)) / h)).cast("int")
+    return {"scaled_w": new, "pad": F.greatest(F.lit(0), width - new), "background": F.when(new < width, F.when(new > 10, tail_mean.cast("int")).otherwise(255)), "squeezed": new > width}
+
+
 def plan_cap(w: Column, h: Column, side: int = 960, step: int = 32) -> tuple[Column, Column]:
     """Long side cut to ``side``, each side to the nearest multiple of ``step`` (halves to even), at least one step."""
     scale = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest(w, h))
@@ -138,6 +159,18 @@ def normalise_rgb(v: Column, channel: int) -> Column:
     return (v / 255.0 - IMAGENET[0][channel]) / IMAGENET[1][channel]
 
 
+def denormalise_rgb(v: Column, channel: int) -> Column:
+    """normalise_rgb undone, clipped to whole bytes."""
+    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), (v * IMAGENET[1][channel] + IMAGENET[0][channel]) * 255.0)).cast("int")
+
+
+def heat_colour(value: Column) -> Column:
+    """(b, g, r) of a score from 0 to 1 on the jet colour scale: three ramps, each a quarter of the scale from the next."""
+    x = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)) * 255) / 255.0
+    ramp = lambda at: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.5) - F.abs(4 * x - at))) * 255 + 0.5).cast("int")
+    return F.struct(ramp(1.0).alias("b"), ramp(2.0).alias("g"), ramp(3.0).alias("r"))
+
+
 def band(confidence: Column) -> Column:
     return F.when(confidence > 0.9, "high").when(confidence > 0.7, "medium").otherwise("low")
 

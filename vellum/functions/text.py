@@ -56,8 +56,18 @@ def decode(ids: Column, characters: Column) -> Column:
     return F.array_join(raw, "")
 
 
-def decoder_to_ctc(i: Column) -> Column:
-    return F.when(i >= DECODER_OFFSET, i - DECODER_OFFSET + CTC_OFFSET)
+def decoder_to_ctc(i: Column, size: int | Column) -> Column:
+    """CTC id of a decoder id, with ``size`` characters: special ids are blank, ids out of range the unknown character."""
+    raw = i - DECODER_OFFSET
+    return F.when(i.isin(PAD, BOS, EOS), 0).when((raw >= 0) & (raw < size), raw + CTC_OFFSET).otherwise(CTC_OFFSET)
+
+
+def end_bonus(length: Column, target: Column, bias: float = 0.0, boost: float = 0.0, until: int = 2) -> Column:
+    """What is added to the end token's log-probability after ``length`` tokens: less ``bias`` while the text is shorter
+    than ``until`` (or half the target, if that is less), ``boost`` from the target length on (null or 0: no target)."""
+    some = F.coalesce(target, F.lit(0)) > 0
+    least = F.when(some, F.least(F.lit(until), F.greatest(F.lit(1), (target * F.lit(0.5)).cast("int")))).otherwise(until)
+    return F.when(length < least, F.lit(-bias)).when(some & (length >= target), F.lit(boost)).otherwise(F.lit(0.0))
 
 
 def pad_to(ids: Column, length: int) -> Column:
@@ -107,6 +117,18 @@ def position_encoding(pos: Column, dim: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(dim - 2), F.lit(2)), two))
 
 
+def position_encoding_2d(row: Column, col: Column, dim: int) -> Column:
+    """Half of the components for the row, half for the column."""
+    return F.concat(position_encoding(row, dim // 2), position_encoding(col, dim // 2))
+
+
+def fit_words(words: Column, width_of: Column, limit: int | Column, least: int = 2) -> Column:
+    """The longest run of first words whose text fits ``limit``, but ``least`` words at least. width_of: the width of the
+    text of the first 1, 2, ... words, an array beside ``words``."""
+    fits = F.size(F.filter(width_of, lambda w: w <= limit))
+    return F.slice(words, 1, F.greatest(fits, F.least(F.lit(least), F.size(words))))
+
+
 def language_paths(text: Column) -> Column:
     """The map of ``lang:path,lang:path``."""
     pairs = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), ":", 2))

@@ -34,6 +34,57 @@ def batches(samples: DataFrame, size: int, longest: int = 512) -> DataFrame:
     return packed.select("batch", "width", padded.alias("targets"), F.flatten(F.transform("rows", cut)).alias("flat"), F.transform("rows", lambda r: F.size(r["cut"])).alias("lengths"))
 
 
+def collate(samples: DataFrame, size: int, longest: int = 512) -> DataFrame:
+    """(batch, width, dec_targets, ctc_targets, ctc_lens, texts) of samples (row, dec_ids, ctc_ids, text): decoder ids cut to
+    ``longest`` and padded with 0 to the batch's width, CTC ids cut to two less and put one after the other."""
+    b = samples.select(F.floor((F.col("row") - 1) / size).alias("batch"), F.struct("row", F.slice("dec_ids", 1, longest).alias("dec"), F.slice("ctc_ids", 1, longest - 2).alias("ctc"), "text").alias("r"))
+    packed = b.groupBy("batch").agg(F.max(F.size("r.dec")).alias("width"), F.array_sort(F.collect_list("r")).alias("rows"))
+    padded = F.transform("rows", lambda r: F.concat(r["dec"], F.array_repeat(F.lit(0), F.col("width") - F.size(r["dec"]))))
+    return packed.select("batch", "width", padded.alias("dec_targets"), F.flatten(F.transform("rows", lambda r: r["ctc"])).alias("ctc_targets"), F.transform("rows", lambda r: F.size(r["ctc"])).alias("ctc_lens"), F.transform("rows", lambda r: r["text"]).alias("texts"))
+
+
+def with_target(samples: DataFrame, ids: str = "ctc_ids") -> DataFrame:
+    """The rows that a CTC loss counts: those with a target."""
+    return samples.where(F.size(ids) > 0)
+
+
+def training_rows(rows: DataFrame, vocab: DataFrame, usable: Column) -> DataFrame:
+    """Rows with ``ids``; one that isn't ``usable`` (no image, no text) gets the ids of an empty text, an empty text, and
+    ``failed``, so that no batch loses its place."""
+    ok = F.coalesce(usable & F.col("text").isNotNull(), F.lit(False))
+    marked = rows.withColumns({"failed": ~ok, "text": F.when(ok, F.col("text")).otherwise("")})
+    return tokenise(marked, vocab)
+
+
+def stretched(width: Column, key: Column, seed: str, share: float = 0.25) -> Column:
+    """A width changed by up to ``share`` either way, set by the key's hash."""
+    return (width * (F.lit(1.0 - share) + F.lit(2.0 * share) * unit(key, seed))).cast("int")
+
+
+def next_index(names: Column) -> Column:
+    """One more than the highest number among image names such as 000017.png; 0 if there is none."""
+    return F.coalesce(F.max(F.nullif(F.regexp_extract(names, r"(\d+)\.png$", 1), F.lit("")).cast("long")) + 1, F.lit(0).cast("long"))
+
+
+def validation_rows(rows: DataFrame, order: str, most: int, size: int, every: int = 10) -> DataFrame:
+    """The first ``most`` rows, with their batch (from 0) and whether it is one of each ``every`` that is decoded."""
+    first = rows.orderBy(order).limit(most)
+    b = first.withColumn("batch", F.floor((F.row_number().over(W.orderBy(order)) - 1) / size))
+    return b.withColumn("decoded", F.pmod("batch", F.lit(every)) == 0)
+
+
+def shuffled(rows: DataFrame, key: str, seed: str = "42") -> DataFrame:
+    """Rows in an order set by the keys' hashes, which is in ``place`` (from 0 to 1)."""
+    return rows.withColumn("place", unit(F.col(key), seed)).orderBy("place", key)
+
+
+def font_size(key: Column, seed: str) -> Column:
+    """18 to 24 in six of ten cases, 25 to 28 in three, else 29 to 32; set by the key's hash."""
+    band, within = unit(key, seed + "/band"), unit(key, seed + "/size")
+    among = lambda lo, hi: F.lit(lo) + F.floor(within * (hi - lo + 1)).cast("int")
+    return F.when(band < 0.6, among(18, 24)).when(band < 0.9, among(25, 28)).otherwise(among(29, 32))
+
+
 def unit(key: Column, seed: str) -> Column:
     """A number in [0, 1) set by key and seed, the same in every engine: 8 hex digits of an md5."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -47,6 +47,69 @@ def component_confidence(score: Column, w: Column, h: Column, area: Column) -> C
     return F.least(F.lit(1.0), score * F.when((ar > 0.2) & (ar < 5), 1.0).otherwise(0.5) * F.when((fl > 0.2) & (fl < 0.9), 1.0).otherwise(0.5) * 0.01)
 
 
+def union_candidates(found: list[tuple[str, float, DataFrame]]) -> DataFrame:
+    """All components of several methods and scales, in the image's coordinates, with their ``source``: (name, scale of the
+    image that the method saw, its components)."""
+    out = None
+    for name, scale, boxes in found:
+        at = boxes if scale == 1.0 else boxes.withColumns(G.rescale(1.0 / scale))
+        at = at.select("image_id", "x", "y", "w", "h", F.col("confidence").cast("double").alias("confidence"), F.lit(name).alias("source"))
+        out = at if out is None else out.unionByName(at)
+    return out
+
+
+def text_boxes(boxes: DataFrame, level: str = "character", confidence: float | None = None) -> DataFrame:
+    """Components as text boxes of a level, without children; a fixed confidence stands in for theirs if one is given."""
+    score = F.col("confidence").cast("double") if confidence is None else F.lit(confidence)
+    return boxes.select("image_id", *(["box_id"] if "box_id" in boxes.columns else []), "x", "y", F.col("w").alias("width"), F.col("h").alias("height"), score.alias("confidence"), F.lit(level).alias("level"), F.array().cast("array<int>").alias("children"))
+
+
+def described(x="x", y="y", w="w", h="h", confidence="confidence") -> Column:
+    """A box as one line of text, its confidence with two decimals."""
+    return F.format_string("TextBox(%d, %d, %d, %d, conf=%.2f)", *map(F.col, (x, y, w, h, confidence)))
+
+
+def multiline(lines: DataFrame, least: int = 2) -> DataFrame:
+    """(image_id, lines, is_multiline) by the number of an image's lines."""
+    return lines.groupBy("image_id").agg(F.count("*").alias("lines")).withColumn("is_multiline", F.col("lines") >= least)
+
+
+def contour_boxes(contours: DataFrame, width: int, height: int, to_width: int, to_height: int, min_size: int = 3, threshold: float = 0.5, ratio: float = 1.6, first: int = 1000) -> DataFrame:
+    """Boxes of the first ``first`` contours of an image (image_id, contour, points, x, y, w, h, score): four points, short
+    side and score large enough, moved outwards, the short side then ``min_size`` + 2 at least; scaled from a map of
+    ``width`` x ``height`` to the image and cut at its edges."""
+    c = contours.withColumn("rank", F.row_number().over(image().orderBy("contour"))).where(F.col("rank") <= first)
+    c = c.where((F.col("points") >= 4) & (F.least("w", "h") >= min_size) & (F.col("score") >= threshold))
+    d = F.col("w") * F.col("h") * F.lit(ratio) / (2.0 * (F.col("w") + F.col("h")))
+    c = c.withColumn("d", F.when((F.col("w") > 0) & (F.col("h") > 0), d)).where(F.least("w", "h") + 2 * F.col("d") >= min_size + 2)
+    cut = lambda v, size, to: F.least(F.lit(float(to)), F.greatest(F.lit(0.0), v / F.lit(float(size)) * to)).cast("int")
+    d = F.col("d")
+    return c.select("image_id", "contour", cut(F.col("x") - d, width, to_width).alias("x1"), cut(F.col("y") - d, height, to_height).alias("y1"), cut(F.col("x") + F.col("w") + d, width, to_width).alias("x2"), cut(F.col("y") + F.col("h") + d, height, to_height).alias("y2"), "score")
+
+
+def zip_detections(found: DataFrame, boxes_col: str = "boxes", scores_col: str = "scores") -> DataFrame:
+    """(image_id, line_number, box, det_confidence): an image's boxes and confidences by their place, from 1; a missing
+    confidence is null."""
+    return found.select("image_id", F.posexplode(F.arrays_zip(F.col(boxes_col).alias("box"), F.col(scores_col).alias("det_confidence"))).alias("pos", "z")).select("image_id", (F.col("pos") + 1).alias("line_number"), "z.box", "z.det_confidence")
+
+
+def numbered(regions: DataFrame, order: list[str]) -> DataFrame:
+    """Regions numbered from 1 in order, those that failed or are empty then left out: their numbers stay gaps."""
+    r = regions.withColumn("line_number", F.row_number().over(image().orderBy(*order)))
+    return r.where(F.col("error").isNull() & (F.length("text") > 0))
+
+
+def character_boxes(lines: DataFrame, widths: DataFrame, x: int = 0, height: int = 20) -> DataFrame:
+    """(line_id, pos, char, x1, y1, x2, y2): boxes of a line's characters one after the other, by the glyph widths (char,
+    width; all of one font). White space moves on by its width, 3 at least (5 where it has none), and has no box; a
+    character without a width has neither."""
+    c = lines.select("line_id", "y", F.posexplode(F.filter(F.split("text", ""), lambda v: v != "")).alias("pos", "char")).join(widths, "char", "left")
+    blank = F.col("char").rlike(r"^\s$")
+    move = F.when(blank, F.coalesce(F.greatest(F.col("width"), F.lit(3)), F.lit(5))).otherwise(F.coalesce("width", F.lit(0)))
+    at = F.lit(x) + F.coalesce(F.sum(move).over(W.partitionBy("line_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return c.withColumn("x1", at.cast("int")).where(~blank & (F.col("width") > 0)).select("line_id", "pos", "char", "x1", F.col("y").alias("y1"), (F.col("x1") + F.col("width")).alias("x2"), (F.col("y") + height).alias("y2"))
+
+
 def top_candidates(scores: DataFrame, k: int = 3) -> DataFrame:
     """The k best candidates of each image with a positive score."""
     return scores.where("score > 0").withColumn("rank", F.row_number().over(image().orderBy(F.desc("score"), "candidate"))).where(F.col("rank") <= k)
@@ -218,13 +281,32 @@ def cumulative_text(regions: DataFrame) -> DataFrame:
     return a.withColumn("piece", F.concat(lead, F.col("text"))).withColumn("cumulative_text", F.array_join(F.collect_list("piece").over(upto), "")).drop("piece")
 
 
-def detect_lines(boxes: DataFrame, width: int, height: int, min_confidence: float = 0.3) -> DataFrame:
-    """Components to text lines: filters, suppression, lines, padded envelopes, vertical merges; those of at least
-    ``min_confidence``, by y."""
+LEVELS = ("character", "word", "line", "block")
+
+
+def detect(boxes: DataFrame, width: int, height: int, level: str = "line", min_confidence: float = 0.3) -> DataFrame:
+    """Components (of one method or several, see union_candidates) to boxes of a level: filters, suppression, lines, padded
+    envelopes (merged vertically for lines), words or blocks; those of at least ``min_confidence``."""
+    if level not in LEVELS:
+        raise ValueError(f"unknown level: {level}")
     kept = suppress(filter_components(boxes, width, height))
+    if level == "character":
+        return kept.where(F.col("confidence") >= min_confidence).select("image_id", "box_id", "x", "y", "w", "h", "confidence")
     lined = group_lines(kept).withColumn("pad", F.greatest(F.lit(2), (F.lit(0.15) * F.median("h").over(image())).cast("int")))
-    lines = envelopes(lined, ["image_id", "line", "pad"], F.col("pad"), width, height).withColumnRenamed("line", "box_id")
-    return merge_vertical(lines).where(F.col("confidence") >= min_confidence).orderBy("image_id", "y", "x").select("image_id", "pos", *"xywh", "confidence")
+    if level == "word":
+        out = envelopes(words(lined), ["image_id", "line", "word", "pad"], F.col("pad"), width, height)
+        return out.where(F.col("confidence") >= min_confidence).select("image_id", "line", "word", *"xywh", "confidence")
+    lines = envelopes(lined, ["image_id", "line", "pad"], F.col("pad"), width, height)
+    merged = merge_vertical(lines.withColumnRenamed("line", "box_id"))
+    if level == "block":
+        out = envelopes(group_blocks(merged.withColumnRenamed("pos", "line")), ["image_id", "block"], 0, width, height)
+        return out.where(F.col("confidence") >= min_confidence).select("image_id", "block", *"xywh", "confidence")
+    return merged.where(F.col("confidence") >= min_confidence).select("image_id", "pos", *"xywh", "confidence")
+
+
+def detect_lines(boxes: DataFrame, width: int, height: int, min_confidence: float = 0.3) -> DataFrame:
+    """Components to text lines (see detect), by y."""
+    return detect(boxes, width, height, "line", min_confidence).orderBy("image_id", "y", "x")
 
 
 def hierarchy(boxes: DataFrame, width: int, height: int, pad: int = 3) -> DataFrame:

@@ -16,6 +16,11 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(reference) == 0, empty).otherwise(F.levenshtein(reference, hypothesis) / F.length(reference))
 
 
+def join_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts (font, image, gt) with what was recognised (font, image, pred, time); images without either are left out."""
+    return truth.join(found, ["font", "image"])
+
+
 def score_pairs(pairs: DataFrame, normalise: bool = True) -> DataFrame:
     """Adds cer and exact; texts are composed (NFC) and stripped before, if asked."""
     if normalise:

@@ -59,6 +59,93 @@ def box_scores(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     return pixels.join(b, ["image_id", "py"]).where((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w"))).groupBy("image_id", "box_id").agg(F.avg("value").alias("score"))
 
 
+def quad_scores(pixels: DataFrame, quads: DataFrame) -> DataFrame:
+    """Mean value under each convex quad (points, clockwise on the screen), its edges included; 0 where no pixel is."""
+    p = F.col("points")
+    ys = F.transform(p, lambda q: q["y"])
+    rows = quads.withColumn("py", F.explode(F.sequence(F.ceil(F.array_min(ys)).cast("int"), F.floor(F.array_max(ys)).cast("int"))))
+    edge = lambda i: F.struct(p[i].alias("a"), p[(i + 1) % 4].alias("b"))
+    x, y = F.col("px"), F.col("py")
+    right = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"]) >= 0
+    under = pixels.join(rows, ["image_id", "py"]).where(F.forall(F.array(*map(edge, range(4))), right)).groupBy("image_id", "box_id").agg(F.avg("value").alias("score"))
+    return quads.select("image_id", "box_id").join(under, ["image_id", "box_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def column_extents(pixels: DataFrame) -> DataFrame:
+    """(image_id, px, top, bottom) of the columns with two pixels or more."""
+    return pixels.groupBy("image_id", "px").agg(F.min("py").alias("top"), F.max("py").alias("bottom"), F.count("*").alias("n")).where("n >= 2").drop("n")
+
+
+def segments(extents: DataFrame, width: int, points: int = 5) -> DataFrame:
+    """(image_id, segment, cx, cy, pivot_x, pivot_y, height, median_height): a word's columns in 2 * ``points`` + 1 parts of
+    its width, each with its mean centre; of the odd ones the tallest column (the first of equals) is a pivot of the
+    curved outline, and half the pivots' median height, widened, its reach."""
+    parts = 2 * points + 1
+    cy, height = (F.col("top") + F.col("bottom")) * 0.5, F.col("bottom") - F.col("top") + 1
+    e = extents.withColumns({"mid": cy, "height": height, "segment": F.least(F.lit(parts - 1), F.floor(F.col("px") / (width / parts)).cast("int"))})
+    best = F.max(F.struct("height", (-F.col("px")).alias("x"), "mid"))
+    g = e.groupBy("image_id", "segment").agg(F.avg("px").alias("cx"), F.avg("mid").alias("cy"), best.alias("best"))
+    odd = F.col("segment") % 2 == 1
+    g = g.select("image_id", "segment", "cx", "cy", F.when(odd, -F.col("best.x")).alias("pivot_x"), F.when(odd, F.col("best.mid")).alias("pivot_y"), F.when(odd, F.col("best.height")).alias("height"))
+    return g.withColumn("median_height", F.median("height").over(W.partitionBy("image_id")))
+
+
+def across(axis: str, other: str) -> W:
+    """A line of pixels along ``axis``; all of an image's lines are in the partition of its id."""
+    return W.partitionBy("image_id", other).orderBy(axis)
+
+
+def box_sum(pixels: DataFrame, value: str, radius: int) -> DataFrame:
+    """Adds ``total``: the sum over the square of ``radius`` around each pixel, border pixels repeated beyond the border."""
+    out = pixels.repartition("image_id").withColumn("total", F.col(value))
+    for axis, other in (("px", "py"), ("py", "px")):
+        line = W.partitionBy("image_id", other).orderBy(axis)
+        whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        near = F.sum("total").over(line.rowsBetween(-radius, radius))
+        before, after = F.greatest(F.lit(0), radius - F.col(axis)), F.greatest(F.lit(0), radius - (F.max(axis).over(whole) - F.col(axis)))
+        out = out.withColumn("total", near + before * F.first("total").over(whole) + after * F.last("total").over(whole))
+    return out
+
+
+def mean_threshold(pixels: DataFrame, block: int, offset: int) -> DataFrame:
+    """Adds ``on``: whether a pixel (image_id, px, py, v) is brighter than the mean of its ``block`` x ``block`` surroundings,
+    rounded, less ``offset``."""
+    mean = F.bround(F.col("total") / float(block * block)).cast("int")
+    return box_sum(pixels, "v", block // 2).withColumn("on", F.col("v") > mean - offset).drop("total")
+
+
+def reflected(value: str, axis: str, other: str) -> tuple[Column, Column]:
+    """The pixels before and after; at the border the one on the other side stands in."""
+    line = across(axis, other)
+    before, after = F.lag(value).over(line), F.lead(value).over(line)
+    return F.coalesce(before, after), F.coalesce(after, before)
+
+
+def sobel(pixels: DataFrame) -> DataFrame:
+    """Adds gx and gy (3 x 3), and the magnitude scaled so that the image's largest is 255."""
+    up, down = reflected("v", "py", "px")
+    left, right = reflected("v", "px", "py")
+    p = pixels.repartition("image_id").withColumns({"smooth_y": up + 2 * F.col("v") + down, "smooth_x": left + 2 * F.col("v") + right})
+    l, r = reflected("smooth_y", "px", "py")
+    u, d = reflected("smooth_x", "py", "px")
+    p = p.withColumns({"gx": r - l, "gy": d - u}).drop("smooth_x", "smooth_y")
+    size = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
+    top = F.max(size).over(W.partitionBy("image_id"))
+    return p.withColumn("magnitude", F.when(top > 0, F.floor(size / top * 255)).otherwise(0).cast("int"))
+
+
+def morphological_gradient(pixels: DataFrame) -> DataFrame:
+    """Adds ``edge``: the largest less the smallest value of a pixel and its four neighbours."""
+    near = [F.col("v")] + [f("v").over(across(a, b)) for f in (F.lag, F.lead) for a, b in (("px", "py"), ("py", "px"))]
+    return pixels.repartition("image_id").withColumn("edge", F.greatest(*near) - F.least(*near))
+
+
+def saturation(b: Column, g: Column, r: Column) -> tuple[Column, Column]:
+    """Value and saturation of a colour, both up to 255."""
+    v, low = F.greatest(b, g, r), F.least(b, g, r)
+    return v, F.when(v > 0, F.round((v - low) * 255 / v)).otherwise(0).cast("int")
+
+
 def label(mask: np.ndarray, eight: bool = True) -> np.ndarray:
     """Component numbers from 1, in order of each one's first pixel; 0 is background."""
     h, w = mask.shape

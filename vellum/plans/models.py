@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
+
 _SESSIONS: dict[tuple, Any] = {}
-METHODS = {"fast": "ctc", "ctc": "ctc", "greedy": "ctc", "accurate": "decoder", "decoder": "decoder", "beam": "beam"}
+METHODS = {"fast": "ctc", "ctc": "ctc", "accurate": "decoder", "decoder": "decoder", "beam": "beam"}
 
 
 def session(key: tuple, make: Callable[[], Any]) -> Any:
@@ -25,7 +27,7 @@ def session(key: tuple, make: Callable[[], Any]) -> Any:
 
 def method(name: Column) -> Column:
     """The decode method that a name stands for; an unknown one raises."""
-    n, out = F.lower(F.trim(name)), None
+    n, out = F.lower(T.strip(name)), None
     for alias, what in METHODS.items():
         out = F.when(n == alias, what) if out is None else out.when(n == alias, what)
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown decode method: "), name)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,28 +11,13 @@ from vellum.functions import geometry as G
 from vellum.functions import text as T
 from vellum.operators import beam, corpus, decode, layout, metrics, raster
 from vellum.plans import models
+from vellum.plans.registry import QUERIES, SQL, columns, query  # noqa: F401
 from vellum.sources import readers, writers
 from vellum.streaming import running
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 WD, HT = X.WIDTH, X.HEIGHT
 
 
-def query(sql: str | None = None, *ctes: str, recursive: bool = False):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = (f"with {'recursive ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + sql
-        return f
-
-    return register
-
-
-def columns(d: dict, prefix: str = "") -> list:
-    return [v.alias(prefix + k) for k, v in d.items()]
-
-
 # quality
 
 
@@ -230,11 +213,6 @@ def hierarchy(spark, d):
     return tree.select("image_id", "block", F.array_join(F.transform("lines", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), F.array_join(F.transform(x["words"], ids), " "))), "/").alias("lines"))
 
 
-@query()
-def detected_lines(spark, d):
-    return layout.detect_lines(X.boxes(spark, d), WD, HT)
-
-
 @query(f"select image_id, box_id, w >= 2 and h >= 6 and s > 0.2 and s < 0.95 as stable, 0.7::double * s as stable_confidence, w * h > 10 and w / h > 0.05 and w / h < 15 as gradient, 0.5::double * least(1.0::double, greatest(0.0::double, 1 - h / (w + 1e-6::double))) as gradient_confidence, w >= 2 and h >= 3 and w * h >= 6 and x > 0 and y > 0 and x + w < {WD} and y + h < {HT} as inner_part from (select *, confidence / 10 * 10 as s from b)", X.BOXES)
 def region_filters(spark, d):
     b = X.boxes(spark, d).withColumn("s", F.col("confidence") / 10 * 10)
@@ -552,3 +530,6 @@ def final_texts(spark, d):
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, sum(value) as total from events group by all")
 def event_windows(spark, d):
     return running.event_windows(X.table(spark, d, "events"))
+
+
+from vellum.plans import box_queries  # noqa: E402, F401  they register theirs, some on top of these

@@ -52,9 +52,25 @@ def fonts(spark: SparkSession, path: str) -> DataFrame:
     return listing(spark, path, "*.{ttf,otf,TTF,OTF}").withColumn("script", font_script(F.element_at(F.split("path", "/"), -1)))
 
 
+#: Parts of a font file's name that mark a font for Khmer.
+KHMER_NAMES = ["khmer", "កម្ពុជា", "battambang", "siemreap", "bokor", "moul", "content", "metal", "freehand", "fasthand", "noto", "kh"]
+FONT_SIZES = [28, 32, 36, 40, 44, 48]
+
+
 def font_script(name: Column) -> Column:
     """khmer or english, by words in the file's name."""
-    return F.when(F.lower(name).rlike("khmer|battambang|bayon|bokor|moul|siemreap|hanuman|content|kantumruy|koulen|odor|angkor|dangrek|metal|freehand"), "khmer").otherwise("english")
+    return F.when(F.lower(name).rlike("|".join(KHMER_NAMES)), "khmer").otherwise("english")
+
+
+def sized_fonts(found: DataFrame) -> DataFrame:
+    """Each font at each size that samples are drawn in."""
+    return found.withColumn("size", F.explode(F.array(*map(F.lit, FONT_SIZES))))
+
+
+def listed_fonts(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the fonts wanted (name) those that exist (path), with their path."""
+    f = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return wanted.join(f.groupBy("name").agg(F.min("path").alias("path")), "name")
 
 
 def dataset(spark: SparkSession, paths: list[str], image_col: str = "image", text_col: str = "text") -> DataFrame:
@@ -101,8 +117,44 @@ def settings_table(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.coalesce("given", "file", "fallback").alias("value"))
 
 
+def applied(meta: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Default settings (key, value) with a checkpoint's own (key, value) in their place; keys that the defaults don't have
+    are left out."""
+    return defaults.join(meta.select("key", F.col("value").alias("own")), "key", "left").select("key", F.coalesce("own", "value").alias("value"))
+
+
+CHECKPOINT = "vocab_path string, epoch int, step int, best_val_acc double, config map<string,string>"
+
+
+def checkpoint_meta(spark: SparkSession, path: str) -> DataFrame | None:
+    """What stands beside a checkpoint's weights (a name in .safetensors: its _meta.json), as one row; None if nothing does."""
+    beside = first_existing(spark, [path.removesuffix(".safetensors") + "_meta.json"])
+    return spark.read.schema(CHECKPOINT).json(beside, multiLine=True) if beside else None
+
+
+def parts_of_path(path: Column) -> dict[str, Column]:
+    """Font, split and file of a benchmark's label file: .../font/split/labels.txt."""
+    p = F.split(path, "/")
+    return {"font": F.try_element_at(p, F.lit(-3)), "split": F.try_element_at(p, F.lit(-2)), "file": F.try_element_at(p, F.lit(-1))}
+
+
+def benchmark_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """(font, split, image, text) of all label files of a benchmark, fonts and splits being folders."""
+    lines = spark.read.option("pathGlobFilter", "labels.txt").option("recursiveFileLookup", True).text(folder).withColumns(parts_of_path(F.input_file_name()))
+    v = T.strip(F.col("value"))
+    parts = F.split(v, "\t", 2)
+    return lines.where(F.col("split").isin("train", "val") & (F.size(parts) == 2)).select("font", "split", F.element_at(parts, 1).alias("image"), F.element_at(parts, 2).alias("text"))
+
+
 def infer_config(state: DataFrame) -> DataFrame:
-    """Layer counts and widths from a table of (key, shape): highest layer number + 1, and the vocabulary's size."""
-    layer = lambda part: (F.max(F.nullif(F.regexp_extract("key", rf"^{part}\.layers\.(\d+)\.", 1), F.lit("")).cast("int")) + 1)
-    dim = F.max(F.when(F.col("key") == "ctc_head.weight", F.element_at("shape", 2)))
-    return state.agg(layer("encoder").alias("enc_layers"), layer("decoder").alias("dec_layers"), dim.alias("dim"), F.max(F.when(F.col("key") == "ctc_head.weight", F.element_at("shape", 1))).alias("ctc_classes")).withColumn("heads", F.when(F.col("dim") % 64 == 0, F.col("dim") / 64).otherwise(F.col("dim") / 32).cast("int"))
+    """Widths, layers and heads of a network from its weights' names and shapes (key, shape); null where no name says it.
+    Heads of an attention's width: 64 each where that divides it, else 32, else 8 heads."""
+    layers = lambda part: F.max(F.nullif(F.regexp_extract("key", rf"^{part}\.layers\.(\d+)\.", 1), F.lit("")).cast("int")) + 1
+    size = lambda name, axis=1: F.max(F.when(F.contains("key", F.lit(name)), F.element_at("shape", axis)))
+
+    def heads(part: str) -> Column:
+        width = F.floor(size(f"{part}.layers.0.self_attn.in_proj_weight") / 3)
+        return F.when(width % 64 == 0, width / 64).when(width % 32 == 0, width / 32).when(width.isNotNull(), F.lit(8)).cast("int")
+
+    found = {"enc_dim": size("stem.net.9.weight"), "dec_dim": size("dec_emb.weight", 2), "enc_layers": layers("enc"), "dec_layers": layers("dec"), "enc_ff": size("enc.layers.0.linear1.weight"), "dec_ff": size("dec.layers.0.linear1.weight"), "enc_heads": heads("enc"), "dec_heads": heads("dec")}
+    return state.agg(*(v.alias(k) for k, v in found.items()))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
@@ -53,6 +55,37 @@ def vocabulary_json(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
 
 
+def checkpoint_json(vocab_path: str, epoch: int, step: int, best: float, config: dict[str, object]) -> str:
+    """What is written beside a checkpoint's weights."""
+    return json.dumps({"vocab_path": vocab_path, "epoch": epoch, "step": step, "best_val_acc": best, "config": config}, indent=2)
+
+
+#: What a new settings file holds.
+DEFAULTS = {"height": 48, "width": 640, "batch_size": 32, "epochs": 100, "lr": 0.0003, "weight_decay": 0.01, "ctc_weight": 0.5, "dec_weight": 0.5, "device": "cuda", "output_dir": "models", "train_labels": "data/train/labels.txt", "val_labels": "data/val/labels.txt", "save_steps": 1000, "resume": False}
+
+
+def default_settings() -> str:
+    """A new settings file: a key and its value a line."""
+    return "".join(f"{k}: {json.dumps(v).strip(chr(34))}\n" for k, v in DEFAULTS.items())
+
+
+def write_file(spark: SparkSession, path: str, content: str) -> None:
+    """A small file as it is, on whatever file system the path lies; an older one is replaced."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def results_text(fonts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(part, ordinal, value): lines of a benchmark's text report, first one for each font, then one for each image."""
+    head = fonts.select(F.lit(0).alias("part"), F.col("font").alias("ordinal"), F.format_string("%s: CER %.4f, accuracy %.4f, %d images", "font", "cer", "accuracy", "images").alias("value"))
+    body = rows.select(F.lit(1).alias("part"), F.concat_ws("/", "font", F.col("doc_id").cast("string")).alias("ordinal"), F.concat_ws("\t", "font", F.col("doc_id").cast("string"), "gt", "pred", F.format_string("%.4f", "cer")).alias("value"))
+    return head.unionByName(body)
+
+
 def summary(samples: DataFrame) -> DataFrame:
     """Totals, lines an image, and distributions by language and layout of annotated samples."""
     dist = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n"))))
