@@ -532,4 +532,4 @@ def event_windows(spark, d):
     return running.event_windows(X.table(spark, d, "events"))
 
 
-from vellum.plans import box_queries  # noqa: E402, F401  they register theirs, some on top of these
+from vellum.plans import box_queries, corpus_queries  # noqa: E402, F401  they register theirs, some on top of these
