@@ -509,16 +509,6 @@ def images(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").cast("int").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("embedding").cast("array<double>").alias("values"))
 
 
-@query()
-def pixel_components(spark, d):
-    return raster.components(images(spark, d), 0.05)
-
-
-@query()
-def score_map_boxes(spark, d):
-    return raster.score_map_boxes(images(spark, d), 0.02, 0.1, 4)
-
-
 # streams over stored rows, run to their end
 
 
@@ -532,4 +522,4 @@ def event_windows(spark, d):
     return running.event_windows(X.table(spark, d, "events"))
 
 
-from vellum.plans import box_queries, corpus_queries  # noqa: E402, F401  they register theirs, some on top of these
+from vellum.plans import box_queries, corpus_queries, pixel_queries  # noqa: E402, F401  they register theirs, some on top of these
