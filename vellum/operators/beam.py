@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -55,29 +56,128 @@ def penalise(log_p: np.ndarray, seq: list[int], unk: int | None = None) -> np.nd
     return out
 
 
-def beam_search(memory: np.ndarray, step: Step, beam: int, steps: int, ctc: np.ndarray | None = None, power: float = 0.8, ctc_weight: float = 0.5) -> tuple[list[int], float]:
-    """Ids without BOS and EOS, and the final score; step gives log-probabilities of the next token."""
-    state = [(0.0, [BOS], False)]
+@dataclass(frozen=True)
+class Search:
+    """Fixed values of a search: widths, weights and penalties."""
+
+    beam: int = 3
+    power: float = 0.8
+    language: float = 0.35
+    alignment: float = 0.5
+    end_bias: float = 0.0
+    end_boost: float = 0.0
+    end_until: int = 2
+    unknown: int | None = None
+    most: int = 512
+    ratio: float = 1.3
+    extra: int = 10
+
+    def steps(self, memory: int, target: int | None) -> int:
+        """Rounds at most: by the CTC text's length where that is known, else by the memory's."""
+        return min(self.most, (int(target * self.ratio) if target else memory) + self.extra)
+
+
+def end_bonus(length: int, target: int | None, how: Search) -> float:
+    least = min(how.end_until, max(1, int(target * 0.5))) if target else how.end_until
+    if length < least:
+        return -how.end_bias
+    return how.end_boost if target and length >= target else 0.0
+
+
+def next_scores(memory: np.ndarray, seq: list[int], step: Step, language: Step | None, target: int | None, how: Search) -> np.ndarray:
+    """Log-probabilities of what follows: the decoder's, the language model's added, ends and repetitions weighed."""
+    lp = step(memory, seq)
+    if language is not None:
+        lp = lp + how.language * language(memory, seq)
+    lp = penalise(lp, seq, how.unknown)
+    lp[EOS] += end_bonus(len(seq) - 1, target, how)
+    return lp
+
+
+@dataclass
+class Hypothesis:
+    score: float
+    seq: list[int]
+    steps: list[float]
+    done: bool
+
+    def length(self) -> int:
+        return max(1, len(self.seq) - 1)
+
+    def body(self) -> list[int]:
+        ids = self.seq[1:]
+        return ids[: ids.index(EOS)] if EOS in ids else ids
+
+    def confidence(self) -> float:
+        return min(1.0, float(np.exp(np.mean(self.steps)))) if self.steps else 0.0
+
+
+def rounds(memory: np.ndarray, step: Step, how: Search, steps: int, language: Step | None = None, target: int | None = None, streaming: bool = False) -> Iterator[list[Hypothesis]]:
+    """The best hypotheses after each round, best first. Finished ones compete on; scores are divided by a length penalty,
+    ((5 + n) / 6) ** power or, streaming, n ** power."""
+    normed = (lambda h: h.score / h.length() ** how.power) if streaming else (lambda h: h.score / ((5 + h.length()) / 6) ** how.power)
+    state = [Hypothesis(0.0, [BOS], [], False)]
     for _ in range(steps):
-        if all(done for _, _, done in state):
-            break
-        grown = [s for s in state if s[2]]
-        for score, seq, done in state:
-            if not done:
-                lp = penalise(step(memory, seq), seq)
-                for t in np.argsort(-lp, kind="stable")[:beam]:
-                    grown.append((score + float(lp[t]), [*seq, int(t)], int(t) == EOS))
-        grown.sort(key=lambda s: -s[0] / ((5 + max(1, len(s[1]) - 1)) / 6) ** power)
-        state = grown[:beam]
-    best: tuple[list[int], float] = ([], -np.inf)
-    for score, seq, _ in state:
-        body = [t for t in seq[1:] if t != EOS]
-        final = score / max(1, len(seq) - 1) ** power
-        if ctc is not None:
-            final += ctc_weight * ctc_forward(ctc, [t - 1 for t in body if t > EOS])
-        if final > best[1]:
-            best = (body, final)
-    return best
+        if all(h.done for h in state):
+            return
+        grown = [h for h in state if h.done]
+        for h in state:
+            if not h.done:
+                lp = next_scores(memory, h.seq, step, language, target, how)
+                for t in np.argsort(-lp, kind="stable")[: how.beam]:
+                    grown.append(Hypothesis(h.score + float(lp[t]), [*h.seq, int(t)], [*h.steps, float(lp[t])], int(t) == EOS))
+        state = sorted(grown, key=normed, reverse=True)[: how.beam]
+        yield state
+
+
+def greedy_length(log_p: np.ndarray) -> tuple[int, float]:
+    """Number of tokens of the greedy CTC reading, and the mean of the frames' best probabilities."""
+    best = log_p.argmax(axis=1)
+    fresh = np.concatenate([[True], best[1:] != best[:-1]])
+    return int(((best >= 2) & fresh).sum()), float(np.exp(log_p.max(axis=1)).mean())
+
+
+def beam_search(memory: np.ndarray, step: Step, how: Search, ctc: np.ndarray | None = None, language: Step | None = None, steps: int | None = None) -> tuple[list[int], float, float]:
+    """(ids without BOS and EOS, final score, confidence). The final score adds the CTC alignment's; the confidence is the
+    decoder's, mixed 6 to 4 with the CTC reading's where there is one."""
+    target, ctc_confidence = greedy_length(ctc) if ctc is not None else (None, None)
+    state = [Hypothesis(0.0, [BOS], [], False)]
+    for state in rounds(memory, step, how, steps or how.steps(len(memory), target), language, target):  # noqa: B007
+        pass
+
+    def final(h: Hypothesis) -> float:
+        score = h.score / h.length() ** how.power
+        if ctc is not None and how.alignment > 0:
+            score += how.alignment * ctc_forward(ctc, [t - 1 for t in h.body() if t > EOS])
+        return score
+
+    best = max(state, key=final)
+    confidence = best.confidence() if ctc_confidence is None else 0.6 * best.confidence() + 0.4 * ctc_confidence
+    return best.body(), final(best), confidence
+
+
+def stream(memory: np.ndarray, step: Step, how: Search, language: Step | None = None, greedy: bool = False, steps: int | None = None) -> Iterator[tuple[int, list[int], list[int], float, bool]]:
+    """(step, new ids, ids so far, confidence, finished) of each round. greedy: the decoder's likeliest token, which penalties
+    don't change, with its probability; else the best hypothesis of a beam, whose new ids may be none."""
+    most = steps or how.steps(len(memory), None)
+    if greedy:
+        seq = [BOS]
+        for n in range(1, most + 1):
+            lp = step(memory, seq)
+            token = int(lp.argmax())
+            seq.append(token)
+            shown = [t for t in seq if t > EOS and t != how.unknown]
+            yield n, [token] if token > EOS and token != how.unknown else [], shown, float(np.exp(lp[token])), token == EOS
+            if token == EOS:
+                return
+        return
+    before = 0
+    for n, state in enumerate(rounds(memory, step, how, most, language, None, True), 1):
+        ids = [t for t in state[0].body() if t > EOS and t != how.unknown]
+        yield n, ids[before:], ids, state[0].confidence(), state[0].done
+        before = len(ids)
+        if state[0].done:
+            return
 
 
 def table_step(memory: np.ndarray, seq: list[int]) -> np.ndarray:
@@ -89,18 +189,40 @@ def table_step(memory: np.ndarray, seq: list[int]) -> np.ndarray:
     return row
 
 
-def decode(frames: DataFrame, beam: int = 3, step: Step = table_step, steps: int | None = None) -> DataFrame:
-    """(image_id, ids, score, alignment) of each image's frames; beam 1 is the greedy search."""
+def packed(frames: DataFrame) -> DataFrame:
+    return frames.groupBy("image_id").agg(F.collect_list(F.struct("t", "logits")).alias("frames"))
+
+
+def memories(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    for image, rows in zip(batch["image_id"], batch["frames"], strict=True):
+        yield image, np.array([r["logits"] for r in sorted(rows, key=lambda r: r["t"])], float)
+
+
+def decode(frames: DataFrame, beam: int = 3, step: Step = table_step, steps: int | None = None, language: Step | None = None, how: Search | None = None) -> DataFrame:
+    """(image_id, ids, score, alignment, confidence) of each image's frames, which stand for its CTC reading as well; beam 1 is
+    the search called accurate."""
+    how = replace(how or Search(), beam=beam)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for image, rows in zip(b["image_id"], b["frames"], strict=True):
-                memory = np.array([r["logits"] for r in sorted(rows, key=lambda r: r["t"])], float)
+            for image, memory in memories(b):
                 lp = log_softmax(memory)
-                ids, score = beam_search(memory, step, beam, steps or min(512, len(memory) + 10), lp)
-                out.append((image, ids, score, ctc_forward(lp, [i - 1 for i in ids if i > EOS])))
-            yield pd.DataFrame(out, columns=["image_id", "ids", "score", "alignment"])
+                ids, score, confidence = beam_search(memory, step, how, lp, language, steps)
+                out.append((image, ids, score, ctc_forward(lp, [i - 1 for i in ids if i > EOS]), confidence))
+            yield pd.DataFrame(out, columns=["image_id", "ids", "score", "alignment", "confidence"])
+
+    return packed(frames).mapInPandas(run, "image_id int, ids array<int>, score double, alignment double, confidence double")
+
+
+def decode_stream(frames: DataFrame, greedy: bool = True, step: Step = table_step, language: Step | None = None, how: Search | None = None) -> DataFrame:
+    """(image_id, step, tokens, ids, confidence, finished): a row a round of each image's search (see stream)."""
+    how = how or Search()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for image, memory in memories(b):
+                got = [(image, *e) for e in stream(memory, step, how, language, greedy)]
+                yield pd.DataFrame(got, columns=["image_id", "step", "tokens", "ids", "confidence", "finished"])
 
-    packed = frames.groupBy("image_id").agg(F.collect_list(F.struct("t", "logits")).alias("frames"))
-    return packed.mapInPandas(run, "image_id int, ids array<int>, score double, alignment double")
+    return packed(frames).mapInPandas(run, "image_id int, step int, tokens array<int>, ids array<int>, confidence double, finished boolean")

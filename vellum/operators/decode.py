@@ -23,6 +23,17 @@ def ctc_collapse(frames: DataFrame, offset: int = T.CTC_OFFSET) -> DataFrame:
     return b.groupBy("image_id").agg(F.transform(kept, lambda s: s["raw"]).alias("ids"), F.count_if("emit").cast("int").alias("length"), F.avg("p").alias("confidence"))
 
 
+def ctc_stream(frames: DataFrame, offset: int = T.CTC_OFFSET) -> DataFrame:
+    """(image_id, step, token_id, ids, confidence, finished): a row a token of the greedy reading, with the raw ids so far and
+    its frame's probability; then a row with token -1, all ids, the mean probability and ``finished``."""
+    w = W.partitionBy("image_id").orderBy("t")
+    b = best_ids(frames).withColumn("emit", (F.col("id") >= offset) & (F.lag("id").over(w).isNull() | (F.lag("id").over(w) != F.col("id"))))
+    upto = W.partitionBy("image_id").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    tokens = b.where("emit").select("image_id", F.row_number().over(w).alias("step"), F.col("id").alias("token_id"), F.collect_list(F.col("id") - offset).over(upto).alias("ids"), F.col("p").alias("confidence"), F.lit(False).alias("finished"))
+    whole = ctc_collapse(frames, offset)
+    return tokens.unionByName(whole.select("image_id", F.col("length").alias("step"), F.lit(-1).alias("token_id"), "ids", "confidence", F.lit(True).alias("finished")))
+
+
 def sequence_confidence(tokens: DataFrame, key: str, log_p: str) -> DataFrame:
     """exp of the mean log-probability, kept in 0 to 1; 0 for none."""
     return tokens.groupBy(key).agg(F.coalesce(F.least(F.lit(1.0), F.exp(F.avg(log_p))), F.lit(0.0)).alias("confidence"))

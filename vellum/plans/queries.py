@@ -339,6 +339,21 @@ def greedy_decode(spark, d):
     return beam.decode(X.frames(spark, d), beam=1)
 
 
+@query("select image_id, step, token_id, ids, confidence, finished from (select image_id, row_number() over (partition by image_id order by t)::int as step, id as token_id, string_agg((id - 2)::varchar, ' ') over (partition by image_id order by t) as ids, p as confidence, false as finished from (select *, id >= 2 and (pid is null or pid <> id) as emit from (select *, lag(id) over (partition by image_id order by t) as pid from sm)) where emit union all select image_id, count(*) filter (emit)::int, -1, coalesce(string_agg((id - 2)::varchar, ' ' order by t) filter (emit), ''), avg(p), true from (select *, id >= 2 and (pid is null or pid <> id) as emit from (select *, lag(id) over (partition by image_id order by t) as pid from sm)) group by image_id)", X.FRAMES, SOFT)
+def ctc_stream(spark, d):
+    return decode.ctc_stream(X.frames(spark, d)).withColumn("ids", F.concat_ws(" ", F.col("ids").cast("array<string>")))
+
+
+@query()
+def greedy_stream(spark, d):
+    return beam.decode_stream(X.frames(spark, d))
+
+
+@query()
+def beam_stream(spark, d):
+    return beam.decode_stream(X.frames(spark, d), greedy=False)
+
+
 # corpora
 
 VOCAB = "vo as (select char, row_number() over (order by char)::int as id from (select distinct unnest(string_split(text, '')) as char from documents) where char <> '' union all select '<unk>', 0)"
@@ -432,12 +447,16 @@ def label_lines(spark, d):
     return c.select("c_custkey", F.concat(F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(".png\t"), "c_name").alias("value"))
 
 
-@query()
+#: Texts of these regions have nothing to escape.
+CARDS = "cd as (select image_id, string_agg(printf('<div class=\"%s\">%d: %s</div>', case when confidence > 0.9 then 'high' when confidence > 0.7 then 'medium' else 'low' end, line_number, text), '' order by line_number) as cards, count(*) as total, count(*) filter (confidence > 0.9) as high, count(*) filter (confidence > 0.7 and confidence <= 0.9) as medium, count(*) filter (confidence <= 0.7) as low from rg group by image_id), dt as (select image_id, string_agg(line, chr(10) order by text_line) as text from (select image_id, text_line, string_agg(text, ' ' order by line_number) as line from t1 group by all) group by image_id)"
+
+
+@query("select image_id, '<html><body><p>' || concat_ws(' / ', total, high, medium, low) || '</p><pre>' || text || '</pre>' || cards || '</body></html>' as html from cd join dt using (image_id)", X.BOXES, X.REGIONS, ASSEMBLED.format(rows="rg"), CARDS)
 def html_reports(spark, d):
     return writers.report(X.regions(spark, d))
 
 
-@query()
+@query("select image_id, '[' || string_agg('{\"line_number\":' || line_number || ',\"box\":[' || x || ',' || y || ',' || w || ',' || h || '],\"text\":\"' || text || '\",\"confidence\":' || confidence || '}', ',' order by line_number) || ']' as json from rg group by image_id", X.BOXES, X.REGIONS)
 def json_results(spark, d):
     return writers.results_json(X.regions(spark, d))
 

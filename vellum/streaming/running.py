@@ -25,7 +25,7 @@ def running_text(regions: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values("line_number")
         out = []
         for r in rows.itertuples():
-            if r.error is None and r.text:
+            if pd.isna(r.error) and r.text:
                 mid = r.y + r.h / 2
                 lead = "" if not begun else " " if abs(mid - cy) < 0.8 * max(r.h, h) else "\n"
                 text, cy, h, begun = text + lead + r.text, mid, float(r.h), True
@@ -52,6 +52,29 @@ def token_stream(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc").applyInPandasWithState(run, "doc int, step int, token string, cumulative_text string", "text string", "append", GroupStateTimeout.NoTimeout)
 
 
+def character_stream(tokens: DataFrame) -> DataFrame:
+    """Each token (doc, region, step, token, last: whether it is the document's last) with its region's number, whether it
+    opens or closes a region, and the document's text so far; a token that closes a region is known by ``closes``.
+
+    Tokens of a document must arrive in order over micro-batches; regions are joined by a line feed.
+    """
+    out = "doc int, step int, token string, region_number int, region_start boolean, region_finished boolean, document_finished boolean, cumulative_text string"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, region, number = state.get if state.exists else ("", -1, 0)
+        got = []
+        for r in pd.concat(list(frames)).sort_values("step").itertuples():
+            start = number == 0 or r.region != region
+            if start:
+                text, region, number = text + ("\n" if number else ""), int(r.region), number + 1
+            text += r.token
+            got.append((key[0], r.step, r.token, number, start, bool(r.closes), bool(r.last), text))
+        state.update((text, region, number))
+        yield pd.DataFrame(got, columns=["doc", "step", "token", "region_number", "region_start", "region_finished", "document_finished", "cumulative_text"])
+
+    return tokens.groupBy("doc").applyInPandasWithState(run, out, "text string, region int, number int", "append", GroupStateTimeout.NoTimeout)
+
+
 def final_texts(chunks: DataFrame) -> DataFrame:
     """The last text of each document and its number of steps, from running rows (batch, or complete/update mode)."""
     return chunks.groupBy("doc").agg(F.max_by("cumulative_text", "step").alias("text"), F.count("*").alias("steps"))
