@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.operators import layout
 
 
 def grey(b: Column, g: Column, r: Column) -> Column:
@@ -194,3 +195,13 @@ def score_map_boxes(images: DataFrame, low: float = 0.4, text: float = 0.7, leas
     c = components(images, low, eight=False).where((F.col("area") >= least_area) & (F.col("top") >= text))
     grow = F.floor(F.sqrt(F.col("area") * F.least("w", "h") / (F.col("w") * F.col("h"))) * 2).cast("int")
     return c.withColumn("grow", grow).select("image_id", "component", F.greatest(F.lit(0), F.col("x") - F.col("grow")).alias("x"), F.greatest(F.lit(0), F.col("y") - F.col("grow")).alias("y"), (F.col("w") + 2 * F.col("grow")).alias("w"), (F.col("h") + 2 * F.col("grow")).alias("h"), "area", "top")
+
+
+def score_boxes(images: DataFrame, width: int, height: int, to_width: int, to_height: int, low: float = 0.3, threshold: float = 0.5, min_size: int = 3, ratio: float = 1.6) -> DataFrame:
+    """Boxes of a probability map (8-connected components over ``low``), by their mean score, moved outwards and scaled to the
+    image; see layout.contour_boxes. A component of one row or column has no outline of four points."""
+    c = components(images, low).select("image_id", F.col("component").alias("box_id"), *"xywh")
+    pixels = images.select("image_id", "width", F.posexplode("values").alias("i", "value")).select("image_id", (F.col("i") % F.col("width")).alias("px"), F.floor(F.col("i") / F.col("width")).cast("int").alias("py"), "value")
+    scored = c.join(box_scores(pixels, c), ["image_id", "box_id"]).withColumn("score", F.round("score", 9))
+    contours = scored.withColumn("points", F.when((F.col("w") > 1) & (F.col("h") > 1), 4).otherwise(2)).withColumnRenamed("box_id", "contour")
+    return layout.contour_boxes(contours, width, height, to_width, to_height, min_size, threshold, ratio)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum import fixtures as X
-from vellum.operators import raster
+from vellum.operators import raster, vision
 from vellum.plans.queries import CHARS, HT, MAP, WD, characters, images
 from vellum.plans.registry import query
 
@@ -110,3 +110,39 @@ def pixel_components(spark, d):
 @query("select image_id, component, greatest(0, x - g) as x, greatest(0, y - g) as y, w + 2 * g as w, h + 2 * g as h, area, top from (select *, floor(sqrt(area * least(w, h) / (w * h)) * 2)::int as g from st) where area >= 4 and top >= 0.1", *labelled("v > 0.02", False), recursive=True)
 def score_map_boxes(spark, d):
     return raster.score_map_boxes(images(spark, d), 0.02, 0.1, 4)
+
+
+# image kernels
+
+
+def byte_images(spark: SparkSession, d: str, channels: int) -> DataFrame:
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("image_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 64 if channels == 1 else 48).alias("e"))
+    values = F.transform("e", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v + 0.6) * 200))).cast("int"))
+    side = 8 if channels == 1 else 4
+    return e.select("image_id", F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(channels).alias("channels"), values.alias("values"))
+
+
+@query()
+def binarised_images(spark, d):
+    return vision.binarise(byte_images(spark, d, 3)).select("image_id", "candidate", "on")
+
+
+@query()
+def augmented_images(spark, d):
+    return vision.augment(byte_images(spark, d, 1), 3).select("image_id", F.array_join(F.col("values").cast("array<string>"), " ").alias("values"))
+
+
+@query()
+def linked_boxes(spark, d):
+    maps = images(spark, d).select("image_id", "width", "height", F.col("values").alias("text"), F.reverse("values").alias("link"))
+    return vision.linked_boxes(maps, 0.1, 0.15, 0.05, 4)
+
+
+UNDER = f"us as (select st.image_id, st.component as contour, any_value(x) as x, any_value(y) as y, any_value(w) as w, any_value(h) as h, round(avg(e.v), 9) as score from st join (select vec_id::int as image_id, unnest(range(64))::int % 8 as px, unnest(range(64))::int // 8 as py, unnest(embedding::double[]) as v from embeddings) e on e.image_id = st.image_id and e.px >= x and e.px < x + w and e.py >= y and e.py < y + h group by st.image_id, st.component)"
+TO = ", ".join(f"trunc(least(64.0::double, greatest(0.0::double, ({v}) / 8.0::double * 64)))::int as {n}" for n, v in (("x1", "x - d"), ("y1", "y - d"), ("x2", "x + w + d"), ("y2", "y + h + d")))
+
+
+@query(f"select image_id, contour, {TO}, score from (select *, w * h * 1.6::double / (2.0::double * (w + h)) as d from us where w > 1 and h > 1 and score >= 0.02 and least(w, h) >= 2) where least(w, h) + 2 * d >= 4", *labelled("v > 0.05", True), UNDER, recursive=True)
+def score_boxes(spark, d):
+    i = images(spark, d)
+    return raster.score_boxes(i, 8, 8, 64, 64, low=0.05, threshold=0.02, min_size=2)
