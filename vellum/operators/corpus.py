@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from vellum.functions import text as T
 
 
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one after the other, and the number of each text's (null: none)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    whole = "".join(x for x in column.to_pylist() if x)
+    return np.frombuffer(whole.encode("utf-32-le"), np.uint32), sizes
+
+
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(char, id): distinct code points from 1 on in code point order, <unk> is 0. Distinct first, so that only the
-    alphabet is numbered in one task."""
-    found = texts.select(F.explode(F.array_distinct(T.chars(F.col(text_col)))).alias("char")).distinct()
+    """(char, id): distinct code points from 1 on in code point order, <unk> is 0. Each Arrow batch gives its own alphabet, so
+    little moves and only the alphabet is numbered in one task."""
+
+    def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0x110000, bool)
+        for b in batches:
+            seen[code_points(b.column(0))[0]] = True
+        yield pa.record_batch([pa.array([chr(c) for c in np.flatnonzero(seen).tolist()], pa.string())], names=["char"])
+
+    found = texts.select(F.col(text_col).cast("string").alias("char")).mapInArrow(alphabet, "char string").distinct()
     numbered = found.withColumn("id", F.row_number().over(W.orderBy("char")))
     return numbered.unionByName(texts.sparkSession.range(1).select(F.lit("<unk>").alias("char"), F.lit(0).alias("id")))
 
 
 def tokenise(texts: DataFrame, vocab: DataFrame, text_col: str = "text", offset: int = T.DECODER_OFFSET) -> DataFrame:
-    """Adds ``ids``. The vocabulary is an alphabet: one array of ids by code point, so each character is one look-up."""
-    coded = vocab.where(F.length("char") == 1).select(F.ascii("char").alias("code"), "id")
-    places = coded.agg(F.map_from_entries(F.collect_list(F.struct("code", "id"))).alias("m"), F.max("code").alias("top"))
-    packed = places.select(F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0))).alias("by_code"))
-    return texts.crossJoin(F.broadcast(packed)).withColumn("ids", T.encode(F.col(text_col), F.col("by_code"), offset)).drop("by_code")
+    """Adds ``ids``. A vocabulary is an alphabet, of no more characters than Unicode has: it comes to the driver as a table by
+    code point (4 MB at most), and texts are looked up in it an Arrow batch at a time. Null texts have null ids."""
+    known = vocab.where(F.length("char") == 1).select(F.ascii("char").alias("code"), "id").collect()
+    table = np.full(max([r["code"] for r in known], default=0) + 2, offset, np.int32)
+    for r in known:
+        table[r["code"]] = r["id"] + offset
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(b.schema.get_field_index(text_col))
+            codes, sizes = code_points(text)
+            ids = table[np.minimum(codes, len(table) - 1)]
+            ends = np.cumsum(sizes + 2)
+            out = np.full(int(ends[-1]) if len(ends) else 0, T.EOS, np.int32)
+            begins = ends - sizes - 2
+            out[begins] = T.BOS
+            inner = np.ones(len(out), bool)
+            inner[begins] = inner[ends - 1] = False
+            out[inner] = ids
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out), mask=pc.is_null(text)) if len(text) else pa.array([], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "ids"])
+
+    plain = texts.drop("ids")
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def batches(samples: DataFrame, size: int, longest: int = 512) -> DataFrame:

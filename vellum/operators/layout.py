@@ -1,18 +1,23 @@
 """Page layout: filters, suppression, lines, words, blocks, merges, padding and hierarchy of boxes.
 
-All work within an image, so one exchange on image_id serves them. Folds run over an image's boxes in order, on the JVM;
-their state is an image's boxes at most.
+All work within an image, so one exchange on image_id serves them. Folds run over an image's boxes in order; suppression on the
+JVM, lines and merges in Arrow batches of whole images, their state being one line or box.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vellum.functions import geometry as G
+from vellum.operators.batches import over_images
+
 
 def image() -> W:
     return W.partitionBy("image_id")
@@ -127,35 +132,49 @@ def suppress(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return packed.select("image_id", F.inline(kept)).drop("order")
 
 
-def fold_lines(boxes: DataFrame, order: Column, same: Callable[[Column, Column], Column], inside: Column) -> DataFrame:
-    """Lines by comparing each box with the running means of the current line.
+def fold_lines(boxes: DataFrame, joins: Callable[[int, float, float, float, float, float], bool], by_centre: bool) -> DataFrame:
+    """Lines by comparing each box, by centre y, with the running means of the current line.
 
-    ``same`` gets the state (n, cy and h sums) and the box. Adds ``line`` (from 0) and ``ordinal`` (from 1, by
-    ``inside`` in the line).
+    ``joins`` gets the line's number of boxes and its sums of centres and heights, the box's centre and height, and the
+    image's median height. Adds ``line`` (from 0) and ``ordinal`` (from 1, by centre or left x in the line). Boxes
+    keep their other columns.
     """
-    b = boxes.withColumns({"cy": F.col("y") + F.col("h") / 2, "median_h": F.median("h").over(image()).cast("double")})
-    item = F.struct(order.cast("double").alias("o"), "box_id", F.col("cy").cast("double").alias("cy"), F.col("h").cast("double").alias("h"), "median_h")
-    packed = b.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("h"), F.lit(0).alias("line"), F.array().cast("array<struct<box_id:int,line:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        joins = (s["n"] == 0) | same(s, x)
-        line = F.when(joins, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(F.when(joins, s["n"] + 1).otherwise(1).alias("n"), F.when(joins, s["cy"] + x["cy"]).otherwise(x["cy"]).alias("cy"), F.when(joins, s["h"] + x["h"]).otherwise(x["h"]).alias("h"), line.alias("line"), F.concat(s["out"], F.array(F.struct(x["box_id"].alias("box_id"), line.alias("line")))).alias("out"))
 
-    lines = packed.select("image_id", F.inline(F.aggregate("items", start, step)["out"]))
-    joined = boxes.join(lines, ["image_id", "box_id"])
-    return joined.withColumn("ordinal", F.row_number().over(W.partitionBy("image_id", "line").orderBy(inside, "box_id")))
+    def work(t: pa.Table, at: np.ndarray) -> pa.Table:
+        x, y, w, h, ids = (t[k].to_numpy().astype(float) for k in ("x", "y", "w", "h", "box_id"))
+        cy, inside = y + h / 2, x + w / 2 if by_centre else x
+        line = np.empty(len(x), np.int32)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            middle = float(np.median(h[lo:hi]))
+            n, sum_cy, sum_h, k, out = 0, 0.0, 0.0, 0, []
+            for c, size in zip(cy[lo:hi].tolist(), h[lo:hi].tolist(), strict=True):
+                if n == 0 or joins(n, sum_cy, sum_h, c, size, middle):
+                    n, sum_cy, sum_h = n + 1, sum_cy + c, sum_h + size
+                else:
+                    n, sum_cy, sum_h, k = 1, c, size, k + 1
+                out.append(k)
+            line[lo:hi] = out
+        image = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        by = np.lexsort((ids, inside, line, image))
+        new = np.concatenate([[True], (line[by][1:] != line[by][:-1]) | (image[by][1:] != image[by][:-1])])
+        first = np.flatnonzero(new)
+        ordinal = np.empty(len(x), np.int32)
+        ordinal[by] = np.arange(len(x)) - first[np.cumsum(new) - 1] + 1
+        return t.append_column("line", pa.array(line)).append_column("ordinal", pa.array(ordinal))
+
+    plain = boxes.drop("line", "ordinal")
+    schema = StructType(plain.schema.fields + [StructField("line", IntegerType()), StructField("ordinal", IntegerType())])
+    return over_images(plain, [F.col("y") + F.col("h") / 2, "box_id"], work, schema)
 
 
 def group_lines(boxes: DataFrame) -> DataFrame:
     """Components to lines: within max(0.6 median height, 0.5 mean height of the line) of the line's mean centre."""
-    return fold_lines(boxes, F.col("y") + F.col("h") / 2, lambda s, x: F.abs(x["cy"] - s["cy"] / s["n"]) <= F.greatest(F.lit(0.6) * x["median_h"], F.lit(0.5) * (s["h"] / s["n"])), F.col("x"))
+    return fold_lines(boxes, lambda n, sum_cy, sum_h, cy, h, middle: abs(cy - sum_cy / n) <= max(0.6 * middle, 0.5 * (sum_h / n)), False)
 
 
 def reading_order(boxes: DataFrame, tolerance: float = 0.7, by_centre: bool = True) -> DataFrame:
     """Lines by the running mean centre, strictly within ``tolerance`` median heights; then by centre x (or left x)."""
-    return fold_lines(boxes, F.col("y") + F.col("h") / 2, lambda s, x: F.abs(x["cy"] - s["cy"] / s["n"]) < F.lit(tolerance) * x["median_h"], F.col("x") + F.col("w") / 2 if by_centre else F.col("x"))
+    return fold_lines(boxes, lambda n, sum_cy, sum_h, cy, h, middle: abs(cy - sum_cy / n) < tolerance * middle, by_centre)
 
 
 def merge_vertical(boxes: DataFrame, ratio: float = 0.3) -> DataFrame:
@@ -163,19 +182,28 @@ def merge_vertical(boxes: DataFrame, ratio: float = 0.3) -> DataFrame:
 
     Confidence is the mean of both at each step, so it depends on the order. The x axis isn't looked at.
     """
-    box = F.struct(*(F.col(k).cast("int").alias(k) for k in "xywh"), F.col("confidence").cast("double").alias("confidence"))
-    packed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "box_id", box.alias("b")))).alias("items"))
-    items = F.transform("items", lambda i: i["b"])
-
-    def step(acc: Column, b: Column) -> Column:
-        last = F.element_at(acc, -1)
-        hit = G.overlap_ratio(last["y"], last["h"], b["y"], b["h"]) > ratio
-        x, y = F.least(last["x"], b["x"]), F.least(last["y"], b["y"])
-        both = F.struct(x.alias("x"), y.alias("y"), (F.greatest(last["x"] + last["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(last["y"] + last["h"], b["y"] + b["h"]) - y).alias("h"), ((last["confidence"] + b["confidence"]) / 2).alias("confidence"))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(b)))
-
-    merged = F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 1, 1), step)
-    return packed.select("image_id", F.posexplode(merged).alias("pos", "b")).select("image_id", "pos", "b.*")
+
+    def work(t: pa.Table, at: np.ndarray) -> pa.Table:
+        image, *columns = (t[k].to_numpy().tolist() for k in ("image_id", "x", "y", "w", "h", "confidence"))
+        out: list[tuple] = []
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            pos, box = 0, None
+            for x, y, w, h, score in zip(*(c[lo:hi] for c in columns), strict=True):
+                if box is not None:
+                    bx, by, bw, bh, bs = box
+                    small, shared = min(bh, h), max(0, min(by + bh, y + h) - max(by, y))
+                    if small > 0 and shared / small > ratio:
+                        left, top = min(bx, x), min(by, y)
+                        box = (left, top, max(bx + bw, x + w) - left, max(by + bh, y + h) - top, (bs + score) / 2)
+                        continue
+                    out.append((image[lo], pos, *box))
+                    pos += 1
+                box = (x, y, w, h, score)
+            out.append((image[lo], pos, *box))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int32()] * 6 + [pa.float64()], strict=True)], names=["image_id", "pos", "x", "y", "w", "h", "confidence"])
+
+    chosen = boxes.select(F.col("image_id").cast("int").alias("image_id"), "box_id", *(F.col(k).cast("int").alias(k) for k in "xywh"), F.col("confidence").cast("double").alias("confidence"))
+    return over_images(chosen, ["y", "box_id"], work, "image_id int, pos int, x int, y int, w int, h int, confidence double")
 
 
 def envelopes(boxes: DataFrame, keys: list[str], pad: int | Column, width: int, height: int) -> DataFrame:
