@@ -314,22 +314,23 @@ LEVELS = ("character", "word", "line", "block")
 
 def detect(boxes: DataFrame, width: int, height: int, level: str = "line", min_confidence: float = 0.3) -> DataFrame:
     """Components (of one method or several, see union_candidates) to boxes of a level: filters, suppression, lines, padded
-    envelopes (merged vertically for lines), words or blocks; those of at least ``min_confidence``."""
+    envelopes (merged vertically for lines), words or blocks; those of at least ``min_confidence``, to nine decimals, as a
+    mean's last digits depend on the order of its rows."""
     if level not in LEVELS:
         raise ValueError(f"unknown level: {level}")
     kept = suppress(filter_components(boxes, width, height))
     if level == "character":
-        return kept.where(F.col("confidence") >= min_confidence).select("image_id", "box_id", "x", "y", "w", "h", "confidence")
+        return kept.where(F.round("confidence", 9) >= min_confidence).select("image_id", "box_id", "x", "y", "w", "h", "confidence")
     lined = group_lines(kept).withColumn("pad", F.greatest(F.lit(2), (F.lit(0.15) * F.median("h").over(image())).cast("int")))
     if level == "word":
         out = envelopes(words(lined), ["image_id", "line", "word", "pad"], F.col("pad"), width, height)
-        return out.where(F.col("confidence") >= min_confidence).select("image_id", "line", "word", *"xywh", "confidence")
+        return out.where(F.round("confidence", 9) >= min_confidence).select("image_id", "line", "word", *"xywh", "confidence")
     lines = envelopes(lined, ["image_id", "line", "pad"], F.col("pad"), width, height)
     merged = merge_vertical(lines.withColumnRenamed("line", "box_id"))
     if level == "block":
         out = envelopes(group_blocks(merged.withColumnRenamed("pos", "line")), ["image_id", "block"], 0, width, height)
-        return out.where(F.col("confidence") >= min_confidence).select("image_id", "block", *"xywh", "confidence")
-    return merged.where(F.col("confidence") >= min_confidence).select("image_id", "pos", *"xywh", "confidence")
+        return out.where(F.round("confidence", 9) >= min_confidence).select("image_id", "block", *"xywh", "confidence")
+    return merged.where(F.round("confidence", 9) >= min_confidence).select("image_id", "pos", *"xywh", "confidence")
 
 
 def detect_lines(boxes: DataFrame, width: int, height: int, min_confidence: float = 0.3) -> DataFrame:

@@ -36,22 +36,22 @@ def padded(keys: str, rows: str, name: str, pad: str = "pad") -> str:
 MERGED_LINES = (padded("line", "lp", "pl"), MERGED.replace("order by y, box_id) as rn from b)", "order by y, line) as rn from pl)"), "ml as (select image_id, pos, arg_max(x, rn) as x, arg_max(y, rn) as y, arg_max(w, rn) as w, arg_max(h, rn) as h, arg_max(confidence, rn) as confidence from m1 group by image_id, pos)")
 
 
-@query("select image_id, box_id, x, y, w, h, confidence from sk where confidence >= 0.3", X.BOXES, *KEPT, recursive=True)
+@query("select image_id, box_id, x, y, w, h, confidence from sk where round(confidence, 9) >= 0.3", X.BOXES, *KEPT, recursive=True)
 def detected_characters(spark, d):
     return layout.detect(X.boxes(spark, d), WD, HT, "character")
 
 
-@query("select image_id, line, word, x, y, w, h, confidence from pw where confidence >= 0.3", X.BOXES, *KEPT, LINED, PADDED, WORDS.replace("from l3)", "from lp)"), "wd as (select *, sum(case when gap > thr then 1 else 0 end) over (partition by image_id, line order by x, box_id)::int as word from w2)", padded("line, word", "wd", "pw"), recursive=True)
+@query("select image_id, line, word, x, y, w, h, confidence from pw where round(confidence, 9) >= 0.3", X.BOXES, *KEPT, LINED, PADDED, WORDS.replace("from l3)", "from lp)"), "wd as (select *, sum(case when gap > thr then 1 else 0 end) over (partition by image_id, line order by x, box_id)::int as word from w2)", padded("line, word", "wd", "pw"), recursive=True)
 def detected_words(spark, d):
     return layout.detect(X.boxes(spark, d), WD, HT, "word")
 
 
-@query("select * from ml where confidence >= 0.3", X.BOXES, *KEPT, LINED, PADDED, *MERGED_LINES, recursive=True)
+@query("select * from ml where round(confidence, 9) >= 0.3", X.BOXES, *KEPT, LINED, PADDED, *MERGED_LINES, recursive=True)
 def detected_lines(spark, d):
     return layout.detect_lines(X.boxes(spark, d), WD, HT)
 
 
-@query("select image_id, block, x, y, w, h, confidence from pb where confidence >= 0.3", X.BOXES, *KEPT, LINED, PADDED, *MERGED_LINES, "mk as (select *, pos as line from ml)", BLOCKS.replace("from e1 ", "from mk "), "bk as (select *, sum(new) over (partition by image_id order by y, line)::int as block from k2)", padded("block", "bk", "pb", "0"), recursive=True)
+@query("select image_id, block, x, y, w, h, confidence from pb where round(confidence, 9) >= 0.3", X.BOXES, *KEPT, LINED, PADDED, *MERGED_LINES, "mk as (select *, pos as line from ml)", BLOCKS.replace("from e1 ", "from mk "), "bk as (select *, sum(new) over (partition by image_id order by y, line)::int as block from k2)", padded("block", "bk", "pb", "0"), recursive=True)
 def detected_blocks(spark, d):
     return layout.detect(X.boxes(spark, d), WD, HT, "block")
 
