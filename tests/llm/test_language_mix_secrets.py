@@ -85,6 +85,29 @@ def test_many_languages(spark):
     assert got.where("lang = lang_pred").count() > 0.9 * got.count()
 
 
+def test_judging_against_brute_force(docs):
+    """Probabilities and shares of seen subwords, n-gram by n-gram."""
+    model = language.train(docs)
+    for text in ["The and of, theré", "a", "x y", "", "zwölf Bäume", "no. 7"]:
+        data = text.encode()
+        letters = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in data]
+        rows, seen = [], []
+        for n in language.ORDERS:
+            for p in range(len(letters) - n + 1):
+                gram = letters[p : p + n]
+                if 32 in gram[1:-1] or n == 2 and gram == [32, 32]:
+                    continue
+                code = (sum(c << 8 * j for j, c in enumerate(gram)) + n) * 2654435761 % 2**32
+                code = ((code ^ code >> 15) * 2246822519 % 2**32) >> (32 - language.BITS)
+                rows.append(model.table[code].astype(float))
+                seen.append(model.seen[code])
+        mean = np.sum(rows, axis=0) / max(len(rows), 1) if rows else np.zeros(model.table.shape[1])
+        z = (mean + model.bias) / model.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        p, share = model.judge(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert np.allclose(p[0], want) and share[0] == pytest.approx((sum(seen) + language.PRIOR) / (len(seen) + language.PRIOR))
+
+
 def test_long_texts_are_judged_in_parts(spark, docs, monkeypatch):
     model = language.train(docs)
     data = np.frombuffer(" ".join(r.text for r in docs.where("lang = 'fr'").limit(20).collect()).encode(), np.uint8)
@@ -535,6 +558,45 @@ def test_pages_parse_and_choose(page, text):
     assert extracted(page) == [text]
 
 
+def test_pages_against_another_parser(spark, tiny):
+    """Blocks of the article element by the standard library's parser: the same text from every page of the table."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts, self.out = 0, [], []
+
+        def close_block(self):
+            words = "".join(self.parts).split()
+            self.out += [" ".join(words)] if words else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag in pages.BLOCK:
+                self.close_block()
+
+        def handle_endtag(self, tag):
+            if tag in pages.BLOCK and self.depth:
+                self.close_block()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                self.parts.append(data)
+
+    table = common.table(spark, tiny, "pages")
+    got = {r.page_id: r.text for r in pages.extract(table).collect()}
+    for r in table.collect():
+        parser = Article()
+        parser.feed(r.html)
+        parser.close_block()
+        assert got[r.page_id] == "\n".join(parser.out), r.page_id
+
+
 def test_pages_held_out():
     from vellum.llm.trees import shares
 
@@ -582,6 +644,14 @@ def test_pipeline(spark, docs):
     assert taken == want
 
 
+def test_own_tables_can_be_cleared(spark):
+    import os
+
+    common.written(spark.range(3), "clear")
+    where = common.own_dir(spark).removeprefix("file:")
+    assert any(x.startswith("clear-") for x in os.listdir(where))
+
+
 def test_stages_take_empty_and_odd_tables(spark, docs, tiny):
     odd = docs.limit(0).union(docs.where("doc_id < 30")).union(spark.createDataFrame([(None, None, None, None, None), (9, "", "en", None, 0)], docs.schema))
     for df in (docs.limit(0), odd):

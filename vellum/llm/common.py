@@ -39,10 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's tables in the shared folder."""
+    return f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; results that weren't saved can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, lineage cut, lost executors don't matter."""
+    """df as a Parquet table in the shared folder: computed once, lineage cut, lost executors don't matter. It stays until
+    ``clear``, as results are read from it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{what}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
