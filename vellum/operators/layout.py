@@ -1,7 +1,7 @@
 """Page layout: filters, suppression, lines, words, blocks, merges, padding and hierarchy of boxes.
 
-All work within an image, so one exchange on image_id serves them. Folds run over an image's boxes in order; suppression on the
-JVM, lines and merges in Arrow batches of whole images, their state being one line or box.
+All work within an image, so one exchange on image_id serves them. What folds over an image's boxes in order, or holds each
+against all, runs in Arrow batches of whole images.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from vellum.functions import geometry as G
 from vellum.operators.batches import over_images
@@ -120,16 +120,35 @@ def top_candidates(scores: DataFrame, k: int = 3) -> DataFrame:
     return scores.where("score > 0").withColumn("rank", F.row_number().over(image().orderBy(F.desc("score"), "candidate"))).where(F.col("rank") <= k)
 
 
+#: Boxes that meet all of an image's boxes at once in numpy, so that temporaries of dense images stay small.
+BLOCK = 512
+
+
 def suppress(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Greedy suppression: by confidence, ties by box_id, a box goes if it overlaps a kept one by more than the threshold.
+    """Greedy suppression: by confidence, ties by box_id, a box goes if it overlaps a kept one by more than the threshold."""
 
-    The fold's state holds an image's kept boxes.
-    """
-    item = F.struct((-F.col("confidence")).alias("order"), "box_id", "x", "y", "w", "h", "confidence")
-    packed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    as_box = lambda s: {k: s[k] for k in ("x", "y", "w", "h")}
-    kept = F.aggregate("items", F.slice("items", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda a: G.iou(as_box(a), as_box(b)) > threshold), acc).otherwise(F.concat(acc, F.array(b))))
-    return packed.select("image_id", F.inline(kept)).drop("order")
+    def over(lo: int, hi: int, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        iw = np.minimum(x2[lo:hi, None], x2) - np.maximum(x1[lo:hi, None], x1)
+        ih = np.minimum(y2[lo:hi, None], y2) - np.maximum(y1[lo:hi, None], y1)
+        area, inter = (x2 - x1) * (y2 - y1), iw * ih
+        union = area[lo:hi, None] + area - inter
+        return (iw > 0) & (ih > 0) & (union > 0) & (inter / np.where(union > 0, union, 1) > threshold)
+
+    def work(t: pa.Table, at: np.ndarray) -> pa.Table:
+        x, y, w, h = (t[k].to_numpy().astype(np.int64) for k in "xywh")
+        keep = np.ones(t.num_rows, bool)
+        for first, last in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            edges = [v[first:last] for v in (x, y, x + w, y + h)]
+            alive = keep[first:last]
+            for lo in range(0, last - first, BLOCK):
+                hits = over(lo, min(lo + BLOCK, last - first), *edges)
+                for i in np.flatnonzero(hits.sum(axis=1) > hits[np.arange(len(hits)), lo + np.arange(len(hits))]).tolist():
+                    if alive[lo + i]:
+                        alive[lo + i + 1 :] &= ~hits[i, lo + i + 1 :]
+        return t.filter(pa.array(keep))
+
+    chosen = boxes.select("image_id", "box_id", "x", "y", "w", "h", "confidence")
+    return over_images(chosen, [F.desc("confidence"), "box_id"], work, chosen.schema)
 
 
 def fold_lines(boxes: DataFrame, joins: Callable[[int, float, float, float, float, float], bool], by_centre: bool) -> DataFrame:
@@ -238,23 +257,27 @@ def group_blocks(lines: DataFrame, char_height: float | None = None) -> DataFram
 
 
 def free_space(boxes: DataFrame) -> DataFrame:
-    """For each box the least horizontal gap to boxes that share its rows and vertical gap to those that share its
-    columns (0 where they overlap; null where there is none).
+    """Adds the least horizontal gap to boxes that share a box's rows (gap_x), and the vertical gap to those that share its
+    columns (gap_y): 0 where they overlap, null where there is none."""
+    far = np.int64(2**62)
 
-    Pairs meet in an image's bands of 64 rows, or columns, that both reach, so the join has equal keys; the minimum is
-    taken before anything else moves.
-    """
-    out = boxes
-    for axis, lo, size, other_lo, other_size in (("gap_x", "y", "h", "x", "w"), ("gap_y", "x", "w", "y", "h")):
-        band = F.explode(F.sequence(F.floor(F.col(lo) / 64), F.floor((F.col(lo) + F.col(size)) / 64))).alias("band")
-        a = boxes.select("image_id", band, *(F.col(k).alias(f"a_{k}") for k in ("box_id", "x", "y", "w", "h")))
-        b = boxes.select("image_id", band, *(F.col(k).alias(f"b_{k}") for k in ("box_id", "x", "y", "w", "h")))
-        end = lambda p, k, s: F.col(f"{p}_{k}") + F.col(f"{p}_{s}")
-        shares = (F.least(end("a", lo, size), end("b", lo, size)) > F.greatest(F.col(f"a_{lo}"), F.col(f"b_{lo}"))) & (F.col("a_box_id") != F.col("b_box_id"))
-        gap = F.greatest(F.lit(0), F.col(f"b_{other_lo}") - end("a", other_lo, other_size), F.col(f"a_{other_lo}") - end("b", other_lo, other_size))
-        best = a.join(b, ["image_id", "band"]).where(shares).groupBy("image_id", F.col("a_box_id").alias("box_id")).agg(F.min(gap).alias(axis))
-        out = out.join(best, ["image_id", "box_id"], "left")
-    return out
+    def work(t: pa.Table, at: np.ndarray) -> pa.Table:
+        x, y, w, h = (t[k].to_numpy().astype(np.int64) for k in "xywh")
+        out = np.full((2, t.num_rows), far)
+        for first, last in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            lo, hi = np.stack([x, y])[:, first:last], np.stack([x + w, y + h])[:, first:last]
+            for a in range(0, last - first, BLOCK):
+                z = min(a + BLOCK, last - first)
+                shared = np.minimum(hi[:, a:z, None], hi[:, None]) > np.maximum(lo[:, a:z, None], lo[:, None])
+                shared[:, np.arange(z - a), np.arange(a, z)] = False
+                gap = np.maximum(0, np.maximum(lo[:, None] - hi[:, a:z, None], lo[:, a:z, None] - hi[:, None]))
+                out[:, first + a : first + z] = np.where(shared[::-1], gap, far).min(axis=2)
+        for k, name in enumerate(("gap_x", "gap_y")):
+            t = t.append_column(name, pa.array(out[k], pa.int64(), mask=out[k] == far))
+        return t
+
+    plain = boxes.drop("gap_x", "gap_y")
+    return over_images(plain, ["box_id"], work, StructType([*plain.schema.fields, StructField("gap_x", LongType()), StructField("gap_y", LongType())]))
 
 
 def smart_padding(boxes: DataFrame) -> DataFrame:
