@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum import fixtures as X
 from vellum.functions import text as T
-from vellum.operators import corpus, metrics
+from vellum.operators import corpus, metrics, pages
 from vellum.plans.queries import UNIT, VOCAB
 from vellum.plans.registry import query
 from vellum.sources import readers, writers
@@ -190,3 +190,39 @@ def results_text(spark, d):
 @query("select '{' || string_agg('\"' || case char when '\"' then '\\\"' when '\\' then '\\\\' when chr(10) then '\\n' when chr(9) then '\\t' when chr(13) then '\\r' else char end || '\":' || id, ',' order by id) || '}' as value from vo", VOCAB)
 def vocabulary_json(spark, d):
     return writers.vocabulary_json(corpus.vocabulary(X.table(spark, d, "documents")))
+
+
+# page plans
+
+
+def unit_sql(key: str, seed: str) -> str:
+    return f"(('0x' || substring(md5({key} || ':{seed}'), 1, 8))::bigint::double / 4294967296.0::double)"
+
+
+def between_sql(key: str, seed: str, lo: str, hi: str) -> str:
+    return f"({lo} + floor({unit_sql(key, seed)} * ({hi} - {lo} + 1)))::int"
+
+
+PAGE, EACH = "page_id::varchar", "(page_id || '/' || line)"
+LAYOUTS = ["paragraph", "invoice", "form", "table", "list", "header"]
+PAGES = f"pg as (select p_partkey as page_id, {LAYOUTS}[(p_partkey % 6)::int + 1] as layout, 512 as width, [100, 200, 512][(p_partkey % 3)::int + 1] as height, (18 + p_size % 14)::int as line_height, (p_size % 15)::int as ascent, 9 as advance from part), p1 as (select *, greatest(line_height, 20) as tall, {between_sql(PAGE, 'upper', '15', '30')} as upper_, {between_sql(PAGE, 'lower', '15', '30')} as lower_ from pg), p2 as (select *, greatest(5, {between_sql(PAGE, 'spacing', 'trunc(tall * 0.2::double)::int', 'trunc(tall * 0.5::double)::int')}) as spacing from p1), p3 as (select *, greatest(1, floor((height - upper_ - lower_) / (tall + spacing)::double)::int) as most, case when greatest(10, upper_ + greatest(ascent, 10)) > height - 50 then 30 else greatest(10, upper_ + greatest(ascent, 10)) end as top from p2), p4 as (select *, unnest(range(case when height <= 128 then 1 when height <= 256 then {between_sql(PAGE, 'lines', '2', 'greatest(2, least(4, most))')} else {between_sql(PAGE, 'lines', '5', 'greatest(5, least(12, most))')} end))::int as line from p3), p5 as (select * from (select *, top + line * (tall + spacing) + case when layout = 'header' and line > 0 then 10 else 0 end as y from p4) where y + tall <= height - lower_), p6 as (select *, {between_sql(PAGE, 'columns', '2', '4')} as n_columns, case layout when 'paragraph' then {between_sql(EACH, 'left', '20', '40')} when 'invoice' then {between_sql(EACH, 'left', '20', '30')} when 'form' then {between_sql(EACH, 'left', '20', '40')} when 'list' then {between_sql(EACH, 'left', '25', '35')} when 'header' then {between_sql(EACH, 'left', '25', '35')} end as x0 from p5)"
+PLAN = f"pp as (select page_id, line, 0 as part, case when layout = 'header' and line = 0 then greatest(20, least((width - advance * 12) // 2, width - advance * 12 - 20)) else x0 end as x, y from p6 where layout <> 'table' union all select page_id, line, 1, case layout when 'invoice' then width - 8 * advance - {between_sql(EACH, 'right', '20', '30')} when 'form' then x0 + {between_sql(EACH, 'label', '4', '10')} * advance + {between_sql(EACH, 'gap', '10', '20')} else x0 + 20 end, y from p6 where layout in ('invoice', 'form', 'list') union all select page_id, line, part, part * (width // n_columns) + {between_sql('(page_id || chr(47) || line || chr(47) || part)', 'cell', '10', '15')}, y from (select *, unnest(range(n_columns))::int as part from p6 where layout = 'table'))"
+
+
+def plans(spark, d):
+    p = X.table(spark, d, "part")
+    pick = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (F.col("p_partkey") % n + 1).cast("int"))
+    return pages.plan(p.select(F.col("p_partkey").alias("page_id"), pick(LAYOUTS, 6).alias("layout"), F.lit(512).alias("width"), pick([100, 200, 512], 3).alias("height"), (18 + F.col("p_size") % 14).cast("int").alias("line_height"), (F.col("p_size") % 15).cast("int").alias("ascent"), F.lit(9).alias("advance")))
+
+
+@query("select page_id, line, part, x::int as x, y::int as y from pp", PAGES, PLAN)
+def page_plans(spark, d):
+    return plans(spark, d)
+
+
+@query("select page_id, row_number() over (partition by page_id order by y, x, part)::int as ordinal, line, part, text, x::int as x, y::int as y, (length(text) * 9)::int as w from (select * exclude (words), array_to_string(words[1:greatest(len(list_filter(range(1, (len(words) + 1)::bigint), lambda k: length(array_to_string(words[1:k], ' ')) * 9 <= 492 - x)), least(2, len(words)))], ' ') as text from (select pp.*, string_split(p_name || ' ' || p_type || ' ' || p_brand || ' ' || line, ' ') as words from pp join part on p_partkey = page_id))", PAGES, PLAN)
+def filled_pages(spark, d):
+    p = plans(spark, d)
+    t = p.join(X.table(spark, d, "part"), F.col("page_id") == F.col("p_partkey"))
+    texts = t.select("page_id", "line", "part", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("line").cast("string")).alias("text"))
+    return pages.fill(p, texts, 9, 512)
