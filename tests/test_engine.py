@@ -231,6 +231,37 @@ def test_linked_components_join_and_widen():
     assert len(vision.linked_quads(text, np.zeros((20, 40)))) == 2
 
 
+def test_curved_outlines():
+    """A word bent like a bow: its outline follows it; a straight one that fills its quad has none."""
+    mask = np.zeros((60, 120), bool)
+    for x in range(10, 110):
+        middle = 40 - int(20 * math.sin(math.pi * (x - 10) / 100))
+        mask[middle - 4 : middle + 5, x] = True
+    quad = np.array([[10, 14], [109, 14], [109, 46], [10, 46]], float)
+    got = vision.curved_outline(mask, quad)
+    assert got.shape == (14, 2)
+    top, bottom = got[1:6], got[8:13][::-1]
+    for (x, y), (u, v) in zip(top, bottom, strict=True):
+        middle = 40 - 20 * math.sin(math.pi * ((x + u) / 2 - 10) / 100)
+        assert y < middle < v and abs((y + v) / 2 - middle) < 3
+    straight = np.zeros((60, 120), bool)
+    straight[14:47, 10:110] = True
+    assert vision.curved_outline(straight, quad) is None and vision.curved_outline(mask, quad / 20) is None
+
+
+def test_stages_of_detection(spark):
+    b = fixtures.boxes(spark, "/root/testdata/sf0.001")
+    counts = {k: v.count() for k, v in layout.stages(b, fixtures.WIDTH, fixtures.HEIGHT).items()}
+    assert counts["components"] >= counts["filtered"] >= counts["kept"] == counts["grouped"] > counts["lines"] > 0
+
+
+def test_stored_score_maps(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(16.0).reshape(4, 4))
+    (tmp_path / "b.npy").write_bytes(b"no map")
+    got = {r.path[-5:]: (r.failed, r["values"]) for r in readers.score_maps(spark, str(tmp_path), 4).collect()}
+    assert got == {"a.npy": (False, [0.0, 2.0, 8.0, 10.0]), "b.npy": (True, [0.0] * 4)}
+
+
 def test_augmentation_is_set_by_its_seed(spark):
     df = spark.createDataFrame([(k, 4, 4, 1, [100] * 16) for k in range(40)], "image_id int, width int, height int, channels int, values array<int>")
     a, b, c = ({r.image_id: r["values"] for r in vision.augment(df.repartition(n), s).collect()} for n, s in ((1, 5), (3, 5), (1, 6)))

@@ -118,6 +118,23 @@ def shuffled(rows: DataFrame, key: str, seed: str = "42") -> DataFrame:
     return rows.withColumn("place", unit(F.col(key), seed)).orderBy("place", key)
 
 
+def supported(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """Lines (line_id, font, text) with ``supported``: whether the font has a glyph (font, char) for each character that isn't
+    white space."""
+    c = lines.select("line_id", "font", F.explode(F.array_distinct(T.chars(F.col("text")))).alias("char")).where(~F.col("char").rlike(r"^\s$"))
+    missing = c.join(glyphs, ["font", "char"], "left_anti").select("line_id").distinct().withColumn("missing", F.lit(True))
+    return lines.join(missing, "line_id", "left").withColumn("supported", F.col("missing").isNull()).drop("missing")
+
+
+def text_extents(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """(line_id, width, height, ascent) of a line's text by its glyphs (char, width, height, ascent), each 1 at least; all are 1
+    where a glyph is missing or the text is empty."""
+    c = lines.select("line_id", F.explode_outer(T.chars(F.col("text"))).alias("char")).join(glyphs, "char", "left")
+    whole = F.count("width") == F.count("*")
+    size = lambda v: F.when(whole, F.greatest(F.lit(1), v)).otherwise(1).cast("int")
+    return c.groupBy("line_id").agg(size(F.sum("width")).alias("width"), size(F.max("height")).alias("height"), size(F.max("ascent")).alias("ascent"))
+
+
 def font_size(key: Column, seed: str) -> Column:
     """18 to 24 in six of ten cases, 25 to 28 in three, else 29 to 32; set by the key's hash."""
     band, within = unit(key, seed + "/band"), unit(key, seed + "/size")

@@ -356,6 +356,13 @@ def detect(boxes: DataFrame, width: int, height: int, level: str = "line", min_c
     return merged.where(F.round("confidence", 9) >= min_confidence).select("image_id", "pos", *"xywh", "confidence")
 
 
+def stages(boxes: DataFrame, width: int, height: int) -> dict[str, DataFrame]:
+    """What line detection makes on its way, by name, to look at."""
+    kept = filter_components(boxes, width, height)
+    alone = suppress(kept)
+    return {"components": boxes, "filtered": kept, "kept": alone, "metrics": text_metrics(alone), "grouped": group_lines(alone), "lines": detect(boxes, width, height)}
+
+
 def detect_lines(boxes: DataFrame, width: int, height: int, min_confidence: float = 0.3) -> DataFrame:
     """Components to text lines (see detect), by y."""
     return detect(boxes, width, height, "line", min_confidence).orderBy("image_id", "y", "x")

@@ -203,6 +203,63 @@ def linked_quads(text: np.ndarray, link: np.ndarray, least_text: float = 0.7, le
     return out
 
 
+def curved_outline(mask: np.ndarray, quad: np.ndarray, points: int = 5, tall: float = 0.7, reach: float = 1.45) -> np.ndarray | None:
+    """The curved outline of a word under its quad: 2 * ``points`` + 4 points, along the top from the left and back along the
+    bottom; None where the word isn't curved (nearly as tall as the quad), too small or too short for it.
+
+    The quad's own axes are the coordinates. Pivots are the tallest columns of every second part of the width; each is
+    widened across the line through its neighbouring parts' centres by half the pivots' median height; at both ends
+    the outline goes on until it leaves the word.
+    """
+    across, down = quad[1] - quad[0], quad[2] - quad[1]
+    w, h = int(np.linalg.norm(across) + 1), int(np.linalg.norm(down) + 1)
+    if min(w, h) < 10:
+        return None
+    to_image = lambda x, y: quad[0] + np.multiply.outer(np.asarray(x) / w, across) + np.multiply.outer(np.asarray(y) / h, down)
+    gx, gy = np.meshgrid(np.arange(w), np.arange(h))
+    at = np.rint(to_image(gx.reshape(-1), gy.reshape(-1))).astype(int)
+    inside = (at >= 0).all(axis=1) & (at[:, 0] < mask.shape[1]) & (at[:, 1] < mask.shape[0])
+    word = np.zeros(w * h, bool)
+    word[inside] = mask[at[inside, 1], at[inside, 0]]
+    word = word.reshape(h, w)
+    xs = np.flatnonzero(word.sum(axis=0) >= 2)
+    if not len(xs):
+        return None
+    top, bottom = word[:, xs].argmax(axis=0), h - 1 - word[::-1, xs].argmax(axis=0)
+    heights, mid = bottom - top + 1, (top + bottom) / 2
+    parts = 2 * points + 1
+    part = np.minimum(parts - 1, (xs / (w / parts)).astype(int))
+    if h * tall < heights.max() or len(np.unique(part)) < parts:
+        return None
+    centres = np.array([(xs[part == k].mean(), mid[part == k].mean()) for k in range(parts)])
+    pivots = [np.flatnonzero(part == k)[heights[part == k].argmax()] for k in range(1, parts, 2)]
+    if w / parts < heights[pivots].max() * 0.25:
+        return None
+    half = np.median(heights[pivots]) * reach / 2
+    slope = centres[2::2] - centres[:-2:2]
+    angle = -np.arctan2(slope[:, 1], slope[:, 0])
+    p = np.stack([xs[pivots], mid[pivots]], axis=1)
+    off = half * np.stack([np.sin(angle), np.cos(angle)], axis=1)
+    upper, lower = p - off, p + off
+
+    def end(k: int, others: tuple[int, int], sign: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = others
+        grade = (p[a, 1] - p[k, 1]) / (p[a, 0] - p[k, 0]) + (p[b, 1] - p[a, 1]) / (p[b, 0] - p[a, 0])
+        steps = np.arange(0.5, 2.0, 0.2)
+        for n, r in enumerate(steps):
+            move = sign * 2 * half * r * np.array([1.0, grade])
+            u, v = upper[k] + move, lower[k] + move
+            line = np.rint(np.linspace(u, v, 2 * h)).astype(int)
+            ok = (line >= 0).all(axis=1) & (line[:, 0] < w) & (line[:, 1] < h)
+            if n + 2 >= len(steps) or not word[line[ok, 1], line[ok, 0]].any():
+                break
+        return u, v
+
+    first, last = end(0, (1, 2), -1), end(points - 1, (points - 2, points - 3), 1)
+    outline = np.array([first[0], *upper, last[0], last[1], *lower[::-1], first[1]])
+    return to_image(outline[:, 0], outline[:, 1])
+
+
 def augmented(grey: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Noise, blur, thinning or thickening, contrast and brightness, each in some of the cases."""
     v = grey

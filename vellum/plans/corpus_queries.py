@@ -226,3 +226,25 @@ def filled_pages(spark, d):
     t = p.join(X.table(spark, d, "part"), F.col("page_id") == F.col("p_partkey"))
     texts = t.select("page_id", "line", "part", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("line").cast("string")).alias("text"))
     return pages.fill(p, texts, 9, 512)
+
+
+# glyphs
+
+FONT_GLYPHS = "gf as (select distinct p_size % 5 as font, unnest(string_split(p_name, '')) as char from part), gt as (select * from gf where (ascii(char) + font) % 23 > 0)"
+
+
+def font_glyphs(spark, d):
+    g = X.table(spark, d, "part").select((F.col("p_size") % 5).alias("font"), F.explode(T.chars(F.col("p_name"))).alias("char")).distinct()
+    return g.where((F.ascii("char") + F.col("font")) % 23 > 0)
+
+
+@query("select p_partkey as line_id, font, p_name as text, not exists (select 1 from (select unnest(string_split(p_name, '')) as char) c where char <> ' ' and not exists (select 1 from gt where gt.font = p.font and gt.char = c.char)) as supported from (select *, p_partkey % 5 as font from part) p", FONT_GLYPHS)
+def supported_texts(spark, d):
+    lines = X.table(spark, d, "part").select(F.col("p_partkey").alias("line_id"), (F.col("p_partkey") % 5).alias("font"), F.col("p_name").alias("text"))
+    return corpus.supported(lines, font_glyphs(spark, d))
+
+
+@query("select line_id, case when count(width) = count(*) then greatest(1, sum(width)) else 1 end::int as width, case when count(width) = count(*) then greatest(1, max(height)) else 1 end::int as height, case when count(width) = count(*) then greatest(1, max(ascent)) else 1 end::int as ascent from (select p_partkey as line_id, unnest(string_split(p_name, '')) as char from part) left join (select char, (ascii(char) * 7 % 13)::int as width, (ascii(char) % 9 + 8)::int as height, (ascii(char) % 7)::int as ascent from gt where font = 0) using (char) group by line_id", FONT_GLYPHS)
+def text_extents(spark, d):
+    g = font_glyphs(spark, d).where("font = 0").select("char", (F.ascii("char") * 7 % 13).cast("int").alias("width"), (F.ascii("char") % 9 + 8).cast("int").alias("height"), (F.ascii("char") % 7).cast("int").alias("ascent"))
+    return corpus.text_extents(X.table(spark, d, "part").select(F.col("p_partkey").alias("line_id"), F.col("p_name").alias("text")), g)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +112,27 @@ def annotations(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"samples array<struct<{ANNOTATION.replace(' array', ':array').replace(' string', ':string').replace(' int,', ':int,')}>>").json(info, multiLine=True).select(F.inline("samples"))
 
 
+def score_maps(spark: SparkSession, folder: str, size: int) -> DataFrame:
+    """(path, failed, values): score maps stored as .npy files, each at half of ``size`` (the nearest pixels), row by row; zeros
+    for a file that can't be read."""
+    half = size // 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    m = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+                    at = [np.minimum(n - 1, (np.arange(half) * (n / half)).astype(int)) for n in m.shape]
+                    out.append((path, False, m[np.ix_(*at)].reshape(-1)))
+                except (ValueError, EOFError, IndexError):
+                    out.append((path, True, np.zeros(half * half)))
+            yield pd.DataFrame(out, columns=["path", "failed", "values"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "content").mapInPandas(run, "path string, failed boolean, values array<double>")
+
+
 def settings(defaults: dict, file: dict | None = None, given: dict | None = None) -> dict:
     """Defaults, overridden by the file, overridden by what was given and isn't None."""
     return {**defaults, **(file or {}), **{k: v for k, v in (given or {}).items() if v is not None}}
