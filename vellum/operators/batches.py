@@ -10,6 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import StructType
 
 
+#: Bytes of source files behind one task's share of rows, at most, on average.
+SHARE = 4 << 20
+
+
+def tasks(rows: DataFrame) -> int:
+    """Among how many tasks to deal rows: as many as the session says, or more if the files behind them are large, so that a
+    task's share doesn't grow with the tables."""
+    leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        n = int(str(leaves.apply(k).stats().sizeInBytes()))
+        size += n if n < 1 << 60 else 0  # a source that doesn't know its size gives the largest number
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+
+
 def over_images(rows: DataFrame, order: list[str | Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
     """``work`` over tables of whole images (column image_id), rows of each in ``order``; it gets the places where images begin,
     and the end. One exchange; a task holds the images of a batch and one more."""

@@ -22,8 +22,9 @@ def between(key: Column, name: str, lo: int | Column, hi: int | Column) -> Colum
     return (lo + F.floor(unit(key, name) * (hi - lo + 1))).cast("int")
 
 
-def plan(pages: DataFrame) -> DataFrame:
-    """(page_id, line, part, x, y) of pages (page_id, layout, width, height, line_height, ascent, advance).
+def plan(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, line, part, x, y) of pages (page_id, layout, width, height, line_height, ascent, advance); a page's columns named
+    in ``keep`` come along.
 
     Lines: one for heights up to 128, two to four up to 256, else five to twelve, as many as fit; spaced by a fifth to half
     of a line, 5 at least; none that would reach into the lower margin. Parts: 0 is the text, label, item, bullet or first
@@ -61,15 +62,20 @@ def plan(pages: DataFrame) -> DataFrame:
         .when((F.col("layout") == "header") & (F.col("line") == 0), F.array(title))
         .otherwise(F.array(left))
     )
-    return p.select("page_id", "line", F.posexplode(xs).alias("part", "x"), "y").select("page_id", "line", "part", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    return p.select("page_id", *keep, "line", F.posexplode(xs).alias("part", "x"), "y").select("page_id", *keep, "line", "part", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
 
 
 def fill(plans: DataFrame, texts: DataFrame, advance: int, width: int, margin: int = 20) -> DataFrame:
-    """Plans with texts (page_id, line, part, text): words that would reach beyond the right margin go, but two stay; the boxes
-    of what is left."""
-    t = plans.join(texts, ["page_id", "line", "part"])
+    """Plans with texts (page_id, line, part, text), see fit. Both have many rows a page, which the sizes that joins are
+    planned by don't show: neither is broadcast."""
+    return fit(plans.join(texts.hint("merge"), ["page_id", "line", "part"]), advance, width, margin)
+
+
+def fit(filled: DataFrame, advance: int, width: int, margin: int = 20) -> DataFrame:
+    """Plans that have their ``text``: words that would reach beyond the right margin go, but two stay; the boxes of what is
+    left."""
     words = F.split("text", " ")
     upto = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(F.array_join(F.slice(words, 1, n), " ")) * advance)
-    kept = t.withColumn("text", F.array_join(fit_words(words, upto, F.lit(width - margin) - F.col("x")), " "))
+    kept = filled.withColumn("text", F.array_join(fit_words(words, upto, F.lit(width - margin) - F.col("x")), " "))
     order = F.row_number().over(W.partitionBy("page_id").orderBy("y", "x", "part"))
     return kept.select("page_id", order.alias("ordinal"), "line", "part", "text", "x", "y", (F.length("text") * advance).alias("w"))
