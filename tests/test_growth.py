@@ -1,5 +1,8 @@
 """What keeps queries whole on large tables: how joins and exchanges are planned, and how much a step holds at once."""
 
+from pyspark.sql import functions as F
+
+from vellum.operators import raster
 from vellum.plans.queries import QUERIES
 
 
@@ -9,3 +12,30 @@ def plan_of(frame):
 
 def test_filled_pages_are_not_broadcast(spark, tiny):
     assert "Broadcast" not in plan_of(QUERIES["filled_pages"](spark, tiny))
+
+
+ODD = [(1, 1, 0, 0, 9, 3), (1, 2, 5, 1, 4, 8), (1, 3, 5, 1, 4, 8), (2, 1, 30, 20, 60, 40), (2, 2, 75, 2, 3, 3), (3, 1, 90, 90, 5, 5), (4, 1, None, 1, 2, 2), (None, 1, 3, 3, 6, 6), (None, 2, 8, 3, 6, 6)]
+
+
+def odd_boxes(spark):
+    return spark.createDataFrame(ODD, "image_id int, box_id int, x int, y int, w int, h int")
+
+
+def same(got, want):
+    key = lambda r: tuple(repr(None if v is None else round(v, 6)) for v in r)
+    return sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def exchanges(frame):
+    return plan_of(frame).count("Exchange hashpartitioning")
+
+
+def test_quads_on_maps(spark, tiny, monkeypatch):
+    monkeypatch.setattr(raster, "PIXELS", 50)
+    q = odd_boxes(spark).withColumn("points", F.expr("array(%s)" % ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in (("x", "y"), ("x + w", "y"), ("x + w", "y + h + 1"), ("x - 1", "y + h")))))
+    m = raster.region_map(q, 80, 64).withColumn("value", F.round("value", 9))
+    known = q.where("image_id is not null and x is not null")
+    got = raster.quad_map_scores(q, 80, 64)
+    assert same(got.where("image_id is not null and image_id <> 4"), raster.quad_scores(m, known.select("image_id", "box_id", "points")))
+    assert [r.score for r in got.where("image_id = 4").collect()] == [0.0]
+    assert exchanges(QUERIES["quad_scores"](spark, tiny)) == 1

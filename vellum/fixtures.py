@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.operators.batches import by_image
+
 WIDTH, HEIGHT = 1280, 1700
 
 
@@ -17,7 +19,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About 120 boxes an image, at any scale factor: images are runs of 30 order keys."""
     li = table(spark, sf_dir, "lineitem")
     w = W.partitionBy("image_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    li = li.withColumn("image_id", F.floor(F.col("l_orderkey") / 30).cast("int"))
+    li = by_image(li.withColumn("image_id", F.floor(F.col("l_orderkey") / 30).cast("int")))
     return li.select(
         "image_id", F.row_number().over(w).alias("box_id"), (F.col("l_partkey") * 7 % 1200).cast("int").alias("x"), ((F.col("l_suppkey") * 37 + F.col("l_linenumber") * 11 + F.col("l_orderkey") * 7) % 1600).cast("int").alias("y"),
         (20 + F.col("l_partkey") % 60).cast("int").alias("w"), (10 + F.col("l_linenumber") * 2).cast("int").alias("h"), (F.col("l_discount") * 10).alias("confidence"),

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import StructType
 
@@ -24,12 +25,18 @@ def tasks(rows: DataFrame) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
 
 
+def by_image(rows: DataFrame) -> DataFrame:
+    """Rows dealt by image. The number of tasks comes from the files alone, so a second deal of the same rows is no exchange."""
+    n = tasks(rows)
+    return rows.repartition(n, "image_id") if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("image_id")
+
+
 def over_images(rows: DataFrame, order: list[str | Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
     """``work`` over tables of whole images (column image_id), rows of each in ``order``; it gets the places where images begin,
     and the end. One exchange; a task holds the images of a batch and one more."""
 
     def starts(t: pa.Table) -> np.ndarray:
-        v = t["image_id"].to_numpy()
+        v = pc.rank(t["image_id"], tiebreaker="dense").to_numpy()  # rows without an image are one image
         return np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +44,10 @@ def over_images(rows: DataFrame, order: list[str | Column], work: Callable[[pa.T
         for b in batches:
             if not b.num_rows:
                 continue
+            same = bool(held) and held[0]["image_id"][0].equals(b["image_id"][-1])  # rows are in order: one image still
             held.append(b)
+            if same:
+                continue
             t = pa.Table.from_batches(held)
             at = starts(t)
             if len(at) > 2:
@@ -47,4 +57,4 @@ def over_images(rows: DataFrame, order: list[str | Column], work: Callable[[pa.T
             t = pa.Table.from_batches(held).combine_chunks()
             yield from work(t, starts(t)).to_batches()
 
-    return rows.repartition("image_id").sortWithinPartitions("image_id", *order).mapInArrow(run, schema)
+    return by_image(rows).sortWithinPartitions("image_id", *order).mapInArrow(run, schema)

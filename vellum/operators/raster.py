@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.operators import layout
+from vellum.operators.batches import over_images
 
 
 def grey(b: Column, g: Column, r: Column) -> Column:
@@ -40,11 +43,117 @@ def region_map(boxes: DataFrame, width: int, height: int) -> DataFrame:
     gx, gy = (F.col("w") * 0.2).cast("int"), (F.col("h") * 0.2).cast("int")
     x = F.sequence(F.greatest(F.lit(0), F.col("x") - gx), F.least(F.lit(width), F.col("x") + F.col("w") + gx) - 1)
     y = F.sequence(F.greatest(F.lit(0), F.col("y") - gy), F.least(F.lit(height), F.col("y") + F.col("h") + gy) - 1)
-    p = boxes.withColumn("px", F.explode(x)).withColumn("py", F.explode(y))
+    p = boxes.where((F.array_min(x) == x[0]) & (F.array_min(y) == y[0])).withColumn("px", F.explode(x)).withColumn("py", F.explode(y))
     value = G.gaussian(F.col("px") - (F.col("x") + F.col("w") / 2), F.col("py") - (F.col("y") + F.col("h") / 2), sx, sy)
     return p.groupBy("image_id", "px", "py").agg(F.max(value).alias("value"))
 
 
+#: Pixels under boxes that are laid out at once in numpy.
+PIXELS = 1 << 21
+
+
+class Map(NamedTuple):
+    """The region maps of a batch's images: one entry a pixel in order of image (its place in the batch), row and column."""
+
+    width: int
+    height: int
+    key: np.ndarray
+    value: np.ndarray
+
+    @property
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Image, px and py of each pixel."""
+        image, at = np.divmod(self.key, self.width * self.height)
+        return image, at % self.width, at // self.width
+
+    def under(self, image: np.ndarray, box: np.ndarray, px: np.ndarray, py: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the given pixels of each of ``n`` boxes are in the map, and the sum of their values."""
+        key = image * (self.width * self.height) + py * self.width + px
+        at = np.searchsorted(self.key, key)
+        found = at < len(self.key)
+        found[found] = self.key[at[found]] == key[found]
+        return np.bincount(box[found], minlength=n), np.bincount(box[found], self.value[at[found]], minlength=n)
+
+
+def laid_out(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Box, px and py of every pixel of boxes (ends excluded), some boxes at a time; one without area has none."""
+    wide = np.maximum(0, x1 - x0)
+    n = wide * np.maximum(0, y1 - y0)
+    upto = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - n[lo] + PIXELS, "right")))
+        box = np.repeat(np.arange(lo, hi), n[lo:hi])
+        k = np.arange(len(box)) - (upto[box] - n[box] - (upto[lo] - n[lo]))
+        yield box, x0[box] + k % wide[box], y0[box] + k // wide[box]
+        lo = hi
+
+
+def bells(image: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, width: int, height: int) -> Map:
+    """See region_map. Pixels are merged whenever some are laid out, so no more is held than the maps and PIXELS."""
+    sx, sy = np.maximum(w / 2.5, 1.0), np.maximum(h / 2.5, 1.0)
+    gx, gy = (w * 0.2).astype(np.int64), (h * 0.2).astype(np.int64)
+    cx, cy = x + w / 2, y + h / 2
+    keys, values = np.zeros(0, np.int64), np.zeros(0)
+    for box, px, py in laid_out(np.maximum(0, x - gx), np.maximum(0, y - gy), np.minimum(width, x + w + gx), np.minimum(height, y + h + gy)):
+        dx, dy, a, b = px - cx[box], py - cy[box], sx[box], sy[box]
+        k = np.concatenate([keys, image[box] * (width * height) + py * width + px])
+        v = np.concatenate([values, np.exp(-(dx * dx / (2 * a * a) + dy * dy / (2 * b * b)))])
+        if not len(k):
+            continue
+        order = np.argsort(k)
+        k = k[order]
+        first = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        keys, values = k[first], np.maximum.reduceat(v[order], first)
+    return Map(width, height, keys, values)
+
+
+def over_maps(boxes: DataFrame, width: int, height: int, work: Callable[[pa.Table, np.ndarray, np.ndarray, Map], pa.Table], schema: str, places: int = 9) -> DataFrame:
+    """``work`` over tables of whole images' boxes, the place of each row's image, which rows have no null among x, y, w and h,
+    and the images' region maps, whose values are rounded. Boxes move once, by image; pixels never do."""
+
+    def run(t: pa.Table, at: np.ndarray) -> pa.Table:
+        image = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        whole = np.logical_and.reduce([t[k].is_valid().to_numpy() for k in "xywh"])
+        x, y, w, h = (t[k].fill_null(0).to_numpy().astype(np.int64)[whole] for k in "xywh")
+        m = bells(image[whole], x, y, w, h, width, height)
+        return work(t, image, whole, m._replace(value=np.round(m.value, places)))
+
+    return over_images(boxes, [], run, schema)
+
+
+def named(t: pa.Table, image: np.ndarray, which: np.ndarray) -> pa.ChunkedArray:
+    """The ids of images given by their places in the batch."""
+    places, first = np.unique(image, return_index=True)
+    return t["image_id"].take(pa.array(first[np.searchsorted(places, which)]))
+
+
+def id_type(boxes: DataFrame, name: str = "image_id") -> str:
+    return boxes.schema[name].dataType.simpleString()
+
+
+def quad_map_scores(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, box_id, score): quad_scores of the boxes' quads (whole-numbered points, of some area) on their images' region
+    map."""
+
+    def work(t: pa.Table, image: np.ndarray, whole: np.ndarray, m: Map) -> pa.Table:
+        corners = t["points"].combine_chunks().flatten()
+        qx, qy = (corners.field(k).fill_null(0).to_numpy().astype(np.int64).reshape(-1, 4) for k in "xy")
+        n, total = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows)
+        dx, dy = (np.ascontiguousarray((np.roll(q, -1, axis=1) - q).T) for q in (qx, qy))
+        least = np.ascontiguousarray(dx * qy.T - dy * qx.T)
+        for box, px, py in laid_out(np.maximum(0, qx.min(axis=1)), np.maximum(0, qy.min(axis=1)), np.minimum(width, qx.max(axis=1) + 1), np.minimum(height, qy.max(axis=1) + 1)):
+            for k in range(4):
+                inside = np.flatnonzero(dx[k][box] * py - dy[k][box] * px >= least[k][box])
+                box, px, py = box[inside], px[inside], py[inside]
+            got = m.under(image[box], box, px, py, t.num_rows)
+            n, total = n + got[0], total + got[1]
+        return pa.table([t["image_id"], t["box_id"], pa.array(np.where(whole, total / np.maximum(n, 1), 0.0))], names=["image_id", "box_id", "score"])
+
+    chosen = boxes.select("image_id", "box_id", *"xywh", "points")
+    return over_maps(chosen, width, height, work, f"image_id {id_type(boxes)}, box_id {id_type(boxes, 'box_id')}, score double")
+
+
 def affinity_pairs(chars: DataFrame, dy: int = 20, widths: float = 3.0) -> DataFrame:
     """Neighbours in order whose centres are on one line and near: (image_id, box_id, next_id, mid_x, mid_y, w, h)."""
     w = W.partitionBy("image_id").orderBy("box_id")

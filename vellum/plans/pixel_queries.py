@@ -66,8 +66,8 @@ def quad_scores(spark, d):
     c = characters(spark, d)
     x, y, w, h = (F.col(k) for k in "xywh")
     p = lambda a, b: F.struct(a.cast("int").alias("x"), b.cast("int").alias("y"))
-    q = c.select("image_id", "box_id", F.array(p(x, y), p(x + w, y + F.floor(h / 3)), p(x + w, y + h + 1), p(x - 1, y + h)).alias("points"))
-    return raster.quad_scores(raster.region_map(c, WD, HT).withColumn("value", F.round("value", 9)), q).withColumn("score", F.round("score", 6))
+    q = c.withColumn("points", F.array(p(x, y), p(x + w, y + F.floor(h / 3)), p(x + w, y + h + 1), p(x - 1, y + h)))
+    return raster.quad_map_scores(q, WD, HT).withColumn("score", F.round("score", 6))
 
 
 EXTENTS = "ex as (select image_id, px, min(py) as top, max(py) as bottom from mp where value > 0.6 group by all having count(*) >= 2)"
