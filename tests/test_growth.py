@@ -39,3 +39,11 @@ def test_quads_on_maps(spark, tiny, monkeypatch):
     assert same(got.where("image_id is not null and image_id <> 4"), raster.quad_scores(m, known.select("image_id", "box_id", "points")))
     assert [r.score for r in got.where("image_id = 4").collect()] == [0.0]
     assert exchanges(QUERIES["quad_scores"](spark, tiny)) == 1
+
+
+def test_boxes_on_maps(spark, tiny, monkeypatch):
+    monkeypatch.setattr(raster, "PIXELS", 50)
+    b = odd_boxes(spark)
+    m = raster.region_map(b, 80, 64).withColumn("value", F.round("value", 9))
+    assert same(raster.box_map_scores(b, 80, 64).where("image_id is not null"), raster.box_scores(m, b.where("image_id is not null and x is not null")))
+    assert exchanges(QUERIES["box_scores"](spark, tiny)) == 1

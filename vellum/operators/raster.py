@@ -38,12 +38,13 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 
 def region_map(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """(image_id, px, py, value): a bell for each character box over the box grown by a fifth; the largest counts."""
+    """(image_id, px, py, value): a bell for each character box over the box grown by a fifth; the largest counts.
+    A box without a number among x, y, w and h, or beyond the page, has no pixels."""
     sx, sy = F.greatest(F.col("w") / 2.5, F.lit(1.0)), F.greatest(F.col("h") / 2.5, F.lit(1.0))
     gx, gy = (F.col("w") * 0.2).cast("int"), (F.col("h") * 0.2).cast("int")
     x = F.sequence(F.greatest(F.lit(0), F.col("x") - gx), F.least(F.lit(width), F.col("x") + F.col("w") + gx) - 1)
     y = F.sequence(F.greatest(F.lit(0), F.col("y") - gy), F.least(F.lit(height), F.col("y") + F.col("h") + gy) - 1)
-    p = boxes.where((F.array_min(x) == x[0]) & (F.array_min(y) == y[0])).withColumn("px", F.explode(x)).withColumn("py", F.explode(y))
+    p = boxes.dropna(subset=list("xywh")).where((F.array_min(x) == x[0]) & (F.array_min(y) == y[0])).withColumn("px", F.explode(x)).withColumn("py", F.explode(y))
     value = G.gaussian(F.col("px") - (F.col("x") + F.col("w") / 2), F.col("py") - (F.col("y") + F.col("h") / 2), sx, sy)
     return p.groupBy("image_id", "px", "py").agg(F.max(value).alias("value"))
 
@@ -154,6 +155,21 @@ def quad_map_scores(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return over_maps(chosen, width, height, work, f"image_id {id_type(boxes)}, box_id {id_type(boxes, 'box_id')}, score double")
 
 
+def box_map_scores(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, box_id, score): box_scores of the boxes on their own images' region map."""
+
+    def work(t: pa.Table, image: np.ndarray, whole: np.ndarray, m: Map) -> pa.Table:
+        x, y, w, h = (t[k].fill_null(0).to_numpy().astype(np.int64) for k in "xywh")
+        n, total = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows)
+        for box, px, py in laid_out(np.maximum(0, x), np.maximum(0, y), np.minimum(width, x + w), np.minimum(height, y + h)):
+            got = m.under(image[box], box, px, py, t.num_rows)
+            n, total = n + got[0], total + got[1]
+        return pa.table([t["image_id"], t["box_id"], pa.array(total / np.maximum(n, 1))], names=["image_id", "box_id", "score"]).filter(pa.array(whole & (n > 0)))
+
+    chosen = boxes.select("image_id", "box_id", *"xywh")
+    return over_maps(chosen, width, height, work, f"image_id {id_type(boxes)}, box_id {id_type(boxes, 'box_id')}, score double")
+
+
 def affinity_pairs(chars: DataFrame, dy: int = 20, widths: float = 3.0) -> DataFrame:
     """Neighbours in order whose centres are on one line and near: (image_id, box_id, next_id, mid_x, mid_y, w, h)."""
     w = W.partitionBy("image_id").orderBy("box_id")

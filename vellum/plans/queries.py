@@ -519,8 +519,7 @@ def affinity_pairs(spark, d):
 
 @query("select ch.image_id, ch.box_id, round(avg(value), 6) as score from ch join mp on mp.image_id = ch.image_id and px >= ch.x and px < ch.x + ch.w and py >= ch.y and py < ch.y + ch.h group by all", X.BOXES, CHARS, MAP)
 def box_scores(spark, d):
-    c = characters(spark, d)
-    return raster.box_scores(raster.region_map(c, WD, HT), c).withColumn("score", F.round("score", 6))
+    return raster.box_map_scores(characters(spark, d), WD, HT).withColumn("score", F.round("score", 6))
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
