@@ -47,3 +47,10 @@ def test_boxes_on_maps(spark, tiny, monkeypatch):
     m = raster.region_map(b, 80, 64).withColumn("value", F.round("value", 9))
     assert same(raster.box_map_scores(b, 80, 64).where("image_id is not null"), raster.box_scores(m, b.where("image_id is not null and x is not null")))
     assert exchanges(QUERIES["box_scores"](spark, tiny)) == 1
+
+
+def test_columns_of_maps(spark, tiny, monkeypatch):
+    monkeypatch.setattr(raster, "PIXELS", 50)
+    b = odd_boxes(spark)
+    m = raster.region_map(b, 80, 64).where(F.round("value", 9) > 0.6)
+    assert same(raster.map_columns(b, 80, 64, 0.6), raster.column_extents(m)) and raster.map_columns(b, 80, 64, 2.0).count() == 0

@@ -170,6 +170,24 @@ def box_map_scores(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return over_maps(chosen, width, height, work, f"image_id {id_type(boxes)}, box_id {id_type(boxes, 'box_id')}, score double")
 
 
+def map_columns(boxes: DataFrame, width: int, height: int, threshold: float) -> DataFrame:
+    """(image_id, px, top, bottom): column_extents of the pixels of the boxes' region maps over a threshold."""
+
+    def work(t: pa.Table, image: np.ndarray, whole: np.ndarray, m: Map) -> pa.Table:
+        on = m.value > threshold
+        of, px, py = (v[on] for v in m.places)
+        order = np.argsort(of * width + px, kind="stable")  # rows stay in order within a column
+        of, px, py = of[order], px[order], py[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (px[1:] != px[:-1])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(of)]])[: len(first)] - 1
+        first, last = first[last > first], last[last > first]
+        return pa.table([named(t, image, of[first]), *(pa.array(v, pa.int32()) for v in (px[first], py[first], py[last]))], names=["image_id", "px", "top", "bottom"])
+
+    return over_maps(boxes.select("image_id", *"xywh"), width, height, work, f"image_id {id_type(boxes)}, px int, top int, bottom int")
+
+
 def affinity_pairs(chars: DataFrame, dy: int = 20, widths: float = 3.0) -> DataFrame:
     """Neighbours in order whose centres are on one line and near: (image_id, box_id, next_id, mid_x, mid_y, w, h)."""
     w = W.partitionBy("image_id").orderBy("box_id")
