@@ -54,3 +54,4 @@ def test_columns_of_maps(spark, tiny, monkeypatch):
     b = odd_boxes(spark)
     m = raster.region_map(b, 80, 64).where(F.round("value", 9) > 0.6)
     assert same(raster.map_columns(b, 80, 64, 0.6), raster.column_extents(m)) and raster.map_columns(b, 80, 64, 2.0).count() == 0
+    assert exchanges(QUERIES["column_extents"](spark, tiny)) == 1

@@ -75,8 +75,7 @@ EXTENTS = "ex as (select image_id, px, min(py) as top, max(py) as bottom from mp
 
 @query("select image_id, px, top, bottom from ex", X.BOXES, CHARS, MAP, EXTENTS)
 def column_extents(spark, d):
-    m = raster.region_map(characters(spark, d), WD, HT)
-    return raster.column_extents(m.where(F.round("value", 9) > 0.6))
+    return raster.map_columns(characters(spark, d), WD, HT, 0.6)
 
 
 @query("select *, median(height) over (partition by image_id) as median_height from (select image_id, seg as segment, round(avg(px), 9) as cx, round(avg(mid), 9) as cy, case when seg % 2 = 1 then arg_max(px, (h, -px)) end as pivot_x, case when seg % 2 = 1 then arg_max(mid, (h, -px)) end as pivot_y, case when seg % 2 = 1 then max(h) end as height from (select *, (top + bottom) * 0.5::double as mid, bottom - top + 1 as h, least(10, floor(px / (160 / 11.0::double)))::int as seg from ex) group by image_id, seg)", X.BOXES, CHARS, MAP, EXTENTS)
