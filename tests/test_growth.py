@@ -55,3 +55,11 @@ def test_columns_of_maps(spark, tiny, monkeypatch):
     m = raster.region_map(b, 80, 64).where(F.round("value", 9) > 0.6)
     assert same(raster.map_columns(b, 80, 64, 0.6), raster.column_extents(m)) and raster.map_columns(b, 80, 64, 2.0).count() == 0
     assert exchanges(QUERIES["column_extents"](spark, tiny)) == 1
+
+
+def test_totals_of_maps(spark, tiny, monkeypatch):
+    monkeypatch.setattr(raster, "PIXELS", 50)
+    b = odd_boxes(spark)
+    m = raster.region_map(b, 80, 64).withColumn("value", F.round("value", 9))
+    assert same(raster.map_totals(b, 80, 64), m.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top")))
+    assert not {"py", "px"} & set(plan_of(QUERIES["region_maps"](spark, tiny)).replace("#", " ").split())

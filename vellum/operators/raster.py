@@ -188,6 +188,19 @@ def map_columns(boxes: DataFrame, width: int, height: int, threshold: float) ->
     return over_maps(boxes.select("image_id", *"xywh"), width, height, work, f"image_id {id_type(boxes)}, px int, top int, bottom int")
 
 
+def map_totals(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, n, total, top): number, sum and largest of the values of each image's region map."""
+
+    def work(t: pa.Table, image: np.ndarray, whole: np.ndarray, m: Map) -> pa.Table:
+        of = m.places[0]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        n = np.diff(first, append=len(of))
+        fold = lambda f: f.reduceat(m.value, first) if len(first) else np.zeros(0)
+        return pa.table([named(t, image, of[first]), pa.array(n, pa.int64()), pa.array(fold(np.add)), pa.array(fold(np.maximum))], names=["image_id", "n", "total", "top"])
+
+    return over_maps(boxes.select("image_id", *"xywh"), width, height, work, f"image_id {id_type(boxes)}, n bigint, total double, top double")
+
+
 def affinity_pairs(chars: DataFrame, dy: int = 20, widths: float = 3.0) -> DataFrame:
     """Neighbours in order whose centres are on one line and near: (image_id, box_id, next_id, mid_x, mid_y, w, h)."""
     w = W.partitionBy("image_id").orderBy("box_id")

@@ -507,9 +507,7 @@ MAP = "mp as (select image_id, px, py, round(max(exp(-((px - (x + w / 2)) ** 2 /
 
 @query("select image_id, count(*) as n, round(sum(value), 4) as total, max(value) as top from mp group by image_id", X.BOXES, CHARS, MAP)
 def region_maps(spark, d):
-    c = characters(spark, d)
-    m = raster.region_map(c, WD, HT).withColumn("value", F.round("value", 9))
-    return m.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("top"))
+    return raster.map_totals(characters(spark, d), WD, HT).withColumn("total", F.round("total", 4))
 
 
 @query("select image_id, box_id, n_id as next_id, (cx + n_cx) / 2 as mid_x, (cy + n_cy) / 2 as mid_y, abs(n_cx - cx) as w, (h + n_h) / 2 as h from (select *, lead(box_id) over o as n_id, lead(cx) over o as n_cx, lead(cy) over o as n_cy, lead(w) over o as n_w, lead(h) over o as n_h from (select *, x + w / 2 as cx, y + h / 2 as cy from b) window o as (partition by image_id order by box_id)) where n_id is not null and abs(cy - n_cy) <= 20 and abs(n_cx - cx) <= 3 * (w + n_w) / 2", X.BOXES)
