@@ -1,8 +1,9 @@
 """What keeps queries whole on large tables: how joins and exchanges are planned, and how much a step holds at once."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vellum.operators import raster
+from vellum.operators import corpus, raster
 from vellum.plans.queries import QUERIES
 
 
@@ -63,3 +64,15 @@ def test_totals_of_maps(spark, tiny, monkeypatch):
     m = raster.region_map(b, 80, 64).withColumn("value", F.round("value", 9))
     assert same(raster.map_totals(b, 80, 64), m.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top")))
     assert not {"py", "px"} & set(plan_of(QUERIES["region_maps"](spark, tiny)).replace("#", " ").split())
+
+
+def test_code_points_come_in_pieces(spark, monkeypatch):
+    texts = ["ab" * 30, None, "", "é😀" * 20, "x", "y" * 200]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    monkeypatch.setattr(corpus, "TEXT", 64)
+    got = [p.column(1).to_pylist() for p in corpus.pieces(batch, 1)]
+    assert sum(got, []) == texts and len(got) > 3
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 64 for p in got)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    ids = {r.id: r.ids for r in corpus.tokenise(df, corpus.vocabulary(df)).collect()}
+    assert ids[1] is None and ids[2] == [1, 2] and [len(ids[k]) for k in (0, 3, 4, 5)] == [62, 42, 3, 202]

@@ -23,6 +23,22 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole.encode("utf-32-le"), np.uint32), sizes
 
 
+#: Bytes of text whose code points are held at once; one text may have more.
+TEXT = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about TEXT bytes in column ``k``. Batches are cut by their number of rows, so with long
+    texts a whole one's code points would be many times what a worker may hold."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + TEXT, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(char, id): distinct code points from 1 on in code point order, <unk> is 0. Each Arrow batch gives its own alphabet, so
     little moves and only the alphabet is numbered in one task."""
@@ -30,7 +46,8 @@ def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, bool)
         for b in batches:
-            seen[code_points(b.column(0))[0]] = True
+            for piece in pieces(b, 0):
+                seen[code_points(piece.column(0))[0]] = True
         yield pa.record_batch([pa.array([chr(c) for c in np.flatnonzero(seen).tolist()], pa.string())], names=["char"])
 
     found = texts.select(F.col(text_col).cast("string").alias("char")).mapInArrow(alphabet, "char string").distinct()
@@ -47,19 +64,20 @@ def tokenise(texts: DataFrame, vocab: DataFrame, text_col: str = "text", offset:
         table[r["code"]] = r["id"] + offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column(b.schema.get_field_index(text_col))
-            codes, sizes = code_points(text)
-            ids = table[np.minimum(codes, len(table) - 1)]
-            ends = np.cumsum(sizes + 2)
-            out = np.full(int(ends[-1]) if len(ends) else 0, T.EOS, np.int32)
-            begins = ends - sizes - 2
-            out[begins] = T.BOS
-            inner = np.ones(len(out), bool)
-            inner[begins] = inner[ends - 1] = False
-            out[inner] = ids
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out), mask=pc.is_null(text)) if len(text) else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "ids"])
+        for whole in batches:
+            k = whole.schema.get_field_index(text_col)
+            for b in pieces(whole, k):
+                codes, sizes = code_points(b.column(k))
+                ids = table[np.minimum(codes, len(table) - 1)]
+                ends = np.cumsum(sizes + 2)
+                out = np.full(int(ends[-1]), T.EOS, np.int32)
+                begins = ends - sizes - 2
+                out[begins] = T.BOS
+                inner = np.ones(len(out), bool)
+                inner[begins] = inner[ends - 1] = False
+                out[inner] = ids
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out), mask=pc.is_null(b.column(k)))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "ids"])
 
     plain = texts.drop("ids")
     return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
