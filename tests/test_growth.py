@@ -76,3 +76,10 @@ def test_code_points_come_in_pieces(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
     ids = {r.id: r.ids for r in corpus.tokenise(df, corpus.vocabulary(df)).collect()}
     assert ids[1] is None and ids[2] == [1, 2] and [len(ids[k]) for k in (0, 3, 4, 5)] == [62, 42, 3, 202]
+
+
+def test_detokenised_texts_come_in_pieces(spark, tiny, monkeypatch):
+    monkeypatch.setattr(corpus, "TEXT", 500)
+    want = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    got = QUERIES["detokenise"](spark, tiny)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
