@@ -1,9 +1,10 @@
 """What keeps queries whole on large tables: how joins and exchanges are planned, and how much a step holds at once."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vellum.operators import corpus, raster
+from vellum.operators import corpus, raster, vision
 from vellum.plans.queries import QUERIES
 
 
@@ -83,3 +84,22 @@ def test_detokenised_texts_come_in_pieces(spark, tiny, monkeypatch):
     want = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
     got = QUERIES["detokenise"](spark, tiny)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_images_are_binarised_together(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    for h, w in ((4, 4), (9, 13), (20, 30), (3, 5), (40, 9)):
+        v = np.clip(g.normal(120, 50, (20, h, w)), 0, 255).astype(np.uint8) // 30 * 30
+        assert (vision.equalised_all(v) == np.stack([vision.equalised(i) for i in v])).all()
+        assert vision.otsu_all(v).reshape(-1).tolist() == [vision.otsu(i) for i in v]
+    images = [(k, w, h, c, g.integers(0, 256, w * h * c).tolist()) for k, (w, h, c) in enumerate([(4, 4, 3), (5, 3, 1), (4, 4, 3), (8, 8, 1), (40, 20, 3)])]
+    df = spark.createDataFrame(images, "image_id int, width int, height int, channels int, values array<int>").coalesce(1)
+    got = {(r.image_id, r.candidate): (r.on, r["values"]) for r in vision.binarise(df).collect()}
+    want = {}
+    for k, w, h, c, values in images:
+        v = np.array(values, np.uint8).reshape((h, w, c) if c > 1 else (h, w))
+        want |= {(k, name): (int(m.sum()), m.reshape(-1).tolist()) for name, m in vision.candidates(v).items()}
+    assert got == want
+    calls = []
+    monkeypatch.setattr(vision, "equalised", lambda *a: calls.append(a))
+    assert len(vision.candidates_all(np.zeros((500, 4, 4, 3), np.uint8), True)) == 26 and not calls
