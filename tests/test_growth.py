@@ -1,10 +1,13 @@
 """What keeps queries whole on large tables: how joins and exchanges are planned, and how much a step holds at once."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import corpus, raster, vision
+from vellum.operators import batches, corpus, raster, vision
 from vellum.plans.queries import QUERIES
 
 
@@ -103,3 +106,12 @@ def test_images_are_binarised_together(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(vision, "equalised", lambda *a: calls.append(a))
     assert len(vision.candidates_all(np.zeros((500, 4, 4, 3), np.uint8), True)) == 26 and not calls
+
+
+@pytest.mark.parametrize("name, deals", [("detected_words", 3)])
+def test_tasks_grow_with_the_files(spark, tiny, monkeypatch, name, deals):
+    monkeypatch.setattr(batches, "SHARE", 1000)
+    plan = plan_of(QUERIES[name](spark, tiny))
+    sizes = re.findall(r"hashpartitioning\(image_id#\d+, (\d+)\)", plan)
+    assert len(set(sizes)) == (2 if name == "multiline_images" else 1) and int(sizes[-1]) > 100 and "REPARTITION_BY_NUM" in plan
+    assert len(sizes) >= deals and not re.search(r"hashpartitioning\(image_id#\d+, line", plan)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from vellum.functions import geometry as G
-from vellum.operators.batches import over_images
+from vellum.operators.batches import by_image, over_images
 
 
 def image() -> W:
@@ -344,7 +344,7 @@ def detect(boxes: DataFrame, width: int, height: int, level: str = "line", min_c
     kept = suppress(filter_components(boxes, width, height))
     if level == "character":
         return kept.where(F.round("confidence", 9) >= min_confidence).select("image_id", "box_id", "x", "y", "w", "h", "confidence")
-    lined = group_lines(kept).withColumn("pad", F.greatest(F.lit(2), (F.lit(0.15) * F.median("h").over(image())).cast("int")))
+    lined = by_image(group_lines(kept)).withColumn("pad", F.greatest(F.lit(2), (F.lit(0.15) * F.median("h").over(image())).cast("int")))
     if level == "word":
         out = envelopes(words(lined), ["image_id", "line", "word", "pad"], F.col("pad"), width, height)
         return out.where(F.round("confidence", 9) >= min_confidence).select("image_id", "line", "word", *"xywh", "confidence")
