@@ -351,7 +351,7 @@ def detect(boxes: DataFrame, width: int, height: int, level: str = "line", min_c
     lines = envelopes(lined, ["image_id", "line", "pad"], F.col("pad"), width, height)
     merged = merge_vertical(lines.withColumnRenamed("line", "box_id"))
     if level == "block":
-        out = envelopes(group_blocks(merged.withColumnRenamed("pos", "line")), ["image_id", "block"], 0, width, height)
+        out = envelopes(group_blocks(by_image(merged).withColumnRenamed("pos", "line")), ["image_id", "block"], 0, width, height)
         return out.where(F.round("confidence", 9) >= min_confidence).select("image_id", "block", *"xywh", "confidence")
     return merged.where(F.round("confidence", 9) >= min_confidence).select("image_id", "pos", *"xywh", "confidence")
 
