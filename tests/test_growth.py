@@ -108,7 +108,7 @@ def test_images_are_binarised_together(spark, monkeypatch):
     assert len(vision.candidates_all(np.zeros((500, 4, 4, 3), np.uint8), True)) == 26 and not calls
 
 
-@pytest.mark.parametrize("name, deals", [("detected_words", 3), ("detected_blocks", 4), ("multiline_images", 3)])
+@pytest.mark.parametrize("name, deals", [("detected_words", 3), ("detected_lines", 3), ("detected_blocks", 4), ("multiline_images", 3)])
 def test_tasks_grow_with_the_files(spark, tiny, monkeypatch, name, deals):
     monkeypatch.setattr(batches, "SHARE", 1000)
     plan = plan_of(QUERIES[name](spark, tiny))
