@@ -108,6 +108,13 @@ def test_images_are_binarised_together(spark, monkeypatch):
     assert len(vision.candidates_all(np.zeros((500, 4, 4, 3), np.uint8), True)) == 26 and not calls
 
 
+def test_pieces_of_text_are_small():
+    texts = ["é" * 1000, "x" * 3_000_000, None, *["ab" * 1500] * 3000]
+    sizes = [(p.num_rows, sum(len(t or "") for t in p.column(0).to_pylist())) for p in corpus.pieces(pa.record_batch([pa.array(texts)], names=["text"]), 0)]
+    assert sum(n for n, _ in sizes) == len(texts) and sum(n for _, n in sizes) == 1000 + 12_000_000
+    assert max(n for rows, n in sizes if rows > 2) <= 1 << 20
+
+
 @pytest.mark.parametrize("name, deals", [("detected_words", 3), ("detected_lines", 3), ("detected_blocks", 4), ("multiline_images", 3)])
 def test_tasks_grow_with_the_files(spark, tiny, monkeypatch, name, deals):
     monkeypatch.setattr(batches, "SHARE", 1000)

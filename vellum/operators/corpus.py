@@ -24,7 +24,7 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text whose code points are held at once; one text may have more.
-TEXT = 4 << 20
+TEXT = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
