@@ -122,3 +122,16 @@ def test_tasks_grow_with_the_files(spark, tiny, monkeypatch, name, deals):
     sizes = re.findall(r"hashpartitioning\(image_id#\d+, (\d+)\)", plan)
     assert len(set(sizes)) == (2 if name == "multiline_images" else 1) and int(sizes[-1]) > 100 and "REPARTITION_BY_NUM" in plan
     assert len(sizes) >= deals and not re.search(r"hashpartitioning\(image_id#\d+, line", plan)
+
+
+@pytest.mark.parametrize("name, deals", [("multiline_images", 3)])
+def test_shares_hold_below_the_sessions_partitions(spark, tiny, monkeypatch, name, deals):
+    monkeypatch.setattr(batches, "SHARE", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        plan = plan_of(QUERIES[name](spark, tiny))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    dealt = re.findall(r"hashpartitioning\(image_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert len(dealt) == deals and len(set(dealt)) == 1 and batches.FEW < int(dealt[0]) < 5000

@@ -13,22 +13,31 @@ from pyspark.sql.types import StructType
 
 #: Bytes of source files behind one task's share of rows, at most, on average.
 SHARE = 4 << 20
+#: Shares up to which the session's own number of partitions holds, and Spark may join them to fewer.
+FEW = 8
 
 
-def tasks(rows: DataFrame) -> int:
-    """Among how many tasks to deal rows: as many as the session says, or more if the files behind them are large, so that a
-    task's share doesn't grow with the tables."""
+def shares(rows: DataFrame) -> int:
+    """How many times SHARE the files behind rows hold."""
     leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
     for k in range(leaves.size()):
         n = int(str(leaves.apply(k).stats().sizeInBytes()))
         size += n if n < 1 << 60 else 0  # a source that doesn't know its size gives the largest number
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    return -(-size // SHARE)
+
+
+def tasks(rows: DataFrame) -> int:
+    """Among how many tasks to deal rows: as many as the session says, or more if the files behind them are large, so that a
+    task's share doesn't grow with the tables."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shares(rows))
 
 
 def by_image(rows: DataFrame) -> DataFrame:
-    """Rows dealt by image. The number of tasks comes from the files alone, so a second deal of the same rows is no exchange."""
-    n = tasks(rows)
-    return rows.repartition(n, "image_id") if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("image_id")
+    """Rows dealt by image, a share a task. The session's number of partitions would be no bound for it: Spark joins such
+    partitions to about as many as there are cores. The number comes from the files alone, so a second deal of the same
+    rows is no exchange."""
+    n = shares(rows)
+    return rows.repartition(n, "image_id") if n > FEW else rows.repartition("image_id")
 
 
 def over_images(rows: DataFrame, order: list[str | Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
