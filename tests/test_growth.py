@@ -124,7 +124,7 @@ def test_tasks_grow_with_the_files(spark, tiny, monkeypatch, name, deals):
     assert len(sizes) >= deals and not re.search(r"hashpartitioning\(image_id#\d+, line", plan)
 
 
-@pytest.mark.parametrize("name, deals", [("multiline_images", 3)])
+@pytest.mark.parametrize("name, deals", [("multiline_images", 3), ("detected_lines", 3)])
 def test_shares_hold_below_the_sessions_partitions(spark, tiny, monkeypatch, name, deals):
     monkeypatch.setattr(batches, "SHARE", 1000)
     before = spark.conf.get("spark.sql.shuffle.partitions")
