@@ -135,3 +135,17 @@ def test_shares_hold_below_the_sessions_partitions(spark, tiny, monkeypatch, nam
         spark.conf.set("spark.sql.shuffle.partitions", before)
     dealt = re.findall(r"hashpartitioning\(image_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
     assert len(dealt) == deals and len(set(dealt)) == 1 and batches.FEW < int(dealt[0]) < 5000
+
+
+def test_lines_in_order_are_dealt_by_shares(spark, tiny, monkeypatch):
+    want = QUERIES["detected_lines"](spark, tiny)
+    assert re.search(r"rangepartitioning\(.*, 4\), ENSURE_REQUIREMENTS", plan_of(want))
+    monkeypatch.setattr(batches, "SHARE", 2000)
+    got = QUERIES["detected_lines"](spark, tiny)
+    dealt = re.findall(r"rangepartitioning\(.*, (\d+)\), (\w+)", plan_of(got))
+    assert len(dealt) == 1 and int(dealt[0][0]) > batches.FEW and dealt[0][1] == "REPARTITION_BY_NUM"
+    kept = got.withColumn("part", F.spark_partition_id()).collect()
+    parts = [r.part for r in kept]
+    assert parts == sorted(parts) and len(set(parts)) > batches.FEW and max(map(parts.count, parts)) < len(parts) / 4
+    places = [(r.image_id, r.y, r.x) for r in kept]
+    assert places == sorted(places) and same(got, want)

@@ -40,6 +40,13 @@ def by_image(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "image_id") if n > FEW else rows.repartition("image_id")
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows in ``order`` from the first partition to the last, a share a task as by_image deals them. The ranges dealt
+    are those that the sort asks for, so there is one exchange."""
+    n = shares(rows)
+    return (rows.repartitionByRange(n, *order) if n > FEW else rows).orderBy(*order)
+
+
 def over_images(rows: DataFrame, order: list[str | Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
     """``work`` over tables of whole images (column image_id), rows of each in ``order``; it gets the places where images begin,
     and the end. One exchange; a task holds the images of a batch and one more."""

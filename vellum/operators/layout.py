@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from vellum.functions import geometry as G
-from vellum.operators.batches import by_image, over_images
+from vellum.operators.batches import by_image, in_order, over_images
 
 
 def image() -> W:
@@ -365,7 +365,7 @@ def stages(boxes: DataFrame, width: int, height: int) -> dict[str, DataFrame]:
 
 def detect_lines(boxes: DataFrame, width: int, height: int, min_confidence: float = 0.3) -> DataFrame:
     """Components to text lines (see detect), by y."""
-    return detect(boxes, width, height, "line", min_confidence).orderBy("image_id", "y", "x")
+    return in_order(detect(boxes, width, height, "line", min_confidence), "image_id", "y", "x")
 
 
 def hierarchy(boxes: DataFrame, width: int, height: int, pad: int = 3) -> DataFrame:
